@@ -1,67 +1,110 @@
-"""Order-dependent folds per key without gathering a key in one task.
+"""Order-dependent folds per key without gathering a hot key in one task.
 
 A fold over the ordered events of a key (suppression, a lockout counter) looks
-sequential.  Here a key's time line is cut into fixed chunks.  Each chunk is
+sequential.  Keys with few rows are folded in the JVM over one short sorted
+array.  For a hot key the time line is cut into fixed chunks: each chunk is
 summarised, in parallel, into a small table "state on entry -> state on exit";
-the summaries of a key are then chained in order (one short row per active
-chunk); finally every chunk is replayed, in parallel, from its exact entry
-state.  A key that holds a third of all rows is spread over all its chunks, and
-the result is the same as a single pass.
+the summaries of a key are chained in order (one short row per active chunk);
+finally every chunk is replayed, in parallel, from its exact entry state.  A
+key that holds a third of all rows is spread over all its chunks, and the
+result is the same as that of a single pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Keys above this many rows take the chunked route, in chunks of about this many rows.
+HOT_ROWS = 2000
+CHUNK_ROWS = 50_000
+
 
 def micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def chunked_fold(
+@dataclass(frozen=True)
+class Fold:
+    """One fold in its two forms; both give the times (microseconds) it emits.
+
+    native(sorted array of row structs) -> array of emitted times
+    summarise(chunk rows, chunk start)  -> summary text
+    advance(summary, entry state)       -> exit state
+    replay(chunk rows, entry state)     -> emitted times
+    encode / decode                     -> state to text and back
+    """
+
+    native: Callable[[Column], Column]
+    summarise: Callable[[pd.DataFrame, int], str]
+    advance: Callable[[str, Any], Any]
+    replay: Callable[[pd.DataFrame, Any], list]
+    initial: Any
+    encode: Callable[[Any], str]
+    decode: Callable[[str], Any]
+
+
+def fold_by_key(
     rows: DataFrame,
     key: str,
-    chunk_micros: int,
-    summarise: Callable[[pd.DataFrame, int], str],
-    advance: Callable[[str, object], object],
-    replay: Callable[[pd.DataFrame, object], pd.DataFrame],
-    initial: object,
-    output: str,
-    encode: Callable[[object], str],
-    decode: Callable[[str], object],
+    fold: Fold,
+    slot_micros: int,
+    hot_rows: int = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Fold ``rows`` (key, t in microseconds, ...) per key in time order.
+    """Emitted (key, t) rows of a fold over ``rows`` (key, t, ...) in order of t.
 
-    summarise(chunk rows, chunk start) -> summary text
-    advance(summary, entry state)      -> exit state
-    replay(chunk rows, entry state)    -> output rows of the chunk
+    ``rows`` must be distinct by (key, t).  Rows are counted per key and time
+    slot first; a hot key's chunks are one slot wide where its slots are full
+    and as many slots as hold about ``chunk_rows`` rows where they are not.
     """
-    cut = rows.withColumn("_chunk", F.floor(F.col("t") / F.lit(chunk_micros)).cast("bigint"))
+    slots = rows.groupBy(key, F.floor(F.col("t") / F.lit(slot_micros)).alias("_slot")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    slots_per_chunk = F.greatest(F.lit(1), F.floor(F.lit(chunk_rows) * F.col("_slots") / F.col("_n")))
+    hot = (
+        slots.groupBy(key)
+        .agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_slots"))
+        .filter(F.col("_n") > hot_rows)
+        .select(key, (slots_per_chunk * F.lit(slot_micros)).cast("bigint").alias("_width"))
+    )
+    rest = [c for c in rows.columns if c not in (key, "t")]
+    short = (
+        rows.join(hot.select(key), key, "left_anti")
+        .groupBy(key)
+        .agg(F.array_sort(F.collect_list(F.struct("t", *rest))).alias("_rows"))
+        .select(key, F.explode(fold.native(F.col("_rows"))).alias("t"))
+    )
+    return short.unionByName(_chunked(rows.join(hot, key), key, fold))
+
+
+def _chunked(rows: DataFrame, key: str, fold: Fold) -> DataFrame:
+    cut = rows.withColumn("_chunk", F.floor(F.col("t") / F.col("_width")).cast("bigint"))
     kind = rows.schema[key].dataType.simpleString()
 
     def summary_of(keys, pdf):
-        return pd.DataFrame(
-            {key: [keys[0]], "_chunk": [keys[1]], "summary": [summarise(pdf, int(keys[1]) * chunk_micros)]}
-        )
+        text = fold.summarise(pdf.sort_values("t"), int(keys[1]) * int(pdf["_width"].iloc[0]))
+        return pd.DataFrame({key: [keys[0]], "_chunk": [keys[1]], "summary": [text]})
 
     def chain(keys, pdf):
-        state, chunks, entries = initial, [], []
+        state, chunks, entries = fold.initial, [], []
         for chunk, summary in pdf.sort_values("_chunk")[["_chunk", "summary"]].itertuples(index=False):
             chunks.append(chunk)
-            entries.append(encode(state))
-            state = advance(summary, state)
+            entries.append(fold.encode(state))
+            state = fold.advance(summary, state)
         return pd.DataFrame({key: keys[0], "_chunk": chunks, "_entry": entries})
 
-    def replay_chunk(keys, data, entry):
-        if data.empty:
-            return pd.DataFrame(columns=columns)
-        return replay(data.drop(columns=["_chunk"]), decode(entry["_entry"].iloc[0]))[columns]
+    def replay_chunk(keys, pdf, entry):
+        times = fold.replay(pdf.sort_values("t"), fold.decode(entry["_entry"].iloc[0])) if len(pdf) else []
+        # Shaped from the input rows, so that column types survive empty results.
+        return pdf[[key, "t"]].iloc[: len(times)].assign(t=np.asarray(times, dtype="int64"))
 
-    columns = [part.strip().split(" ")[0].strip("`") for part in output.split(",")]
     summaries = cut.groupBy(key, "_chunk").applyInPandas(
         summary_of, f"`{key}` {kind}, _chunk bigint, summary string"
     )
@@ -69,5 +112,5 @@ def chunked_fold(
     return (
         cut.groupBy(key, "_chunk")
         .cogroup(entries.groupBy(key, "_chunk"))
-        .applyInPandas(replay_chunk, output)
+        .applyInPandas(replay_chunk, f"`{key}` {kind}, t bigint")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightdesk import vocab
-from nightdesk.functions.chunked import chunked_fold, micros
+from nightdesk.functions.chunked import CHUNK_ROWS, HOT_ROWS, Fold, fold_by_key, micros
 from nightdesk.functions.scalars import first_per_key, nth
 from nightdesk.functions.timerange import TimeRange
 from nightdesk.operators.base import security
@@ -75,7 +75,13 @@ def suppression_firings(times: np.ndarray, entry: int | None, period: int) -> li
 
 
 def suppress(
-    alerts: DataFrame, key: str, period: int, time: str = "_time", chunk_micros: int = HOUR
+    alerts: DataFrame,
+    key: str,
+    period: int,
+    time: str = "_time",
+    slot_micros: int = HOUR,
+    hot_rows: int = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Keep at most one firing per key and period, greedily from the first event.
 
@@ -89,28 +95,29 @@ def suppress(
     shaped = alerts.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
     instants = first_per_key(shaped, [key, time])
 
-    def summarise(pdf: pd.DataFrame, start: int) -> str:
-        return json.dumps(suppression_summary(np.sort(pdf["t"].to_numpy()), start, span))
-
-    def replay(pdf: pd.DataFrame, entry: int | None) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        return pdf.iloc[suppression_firings(pdf["t"].to_numpy(), entry, span)]
-
-    fired = chunked_fold(
-        instants.select(key, micros(time).alias("t")),
-        key,
-        chunk_micros,
-        summarise,
-        lambda summary, entry: suppression_exit(json.loads(summary), entry, span),
-        replay,
-        FREE,
-        f"`{key}` {alerts.schema[key].dataType.simpleString()}, t bigint",
-        json.dumps,
-        json.loads,
-    )
-    return (
-        instants.withColumn("t", micros(time)).join(fired, [key, "t"], "left_semi").select(*alerts.columns)
+    def native(rows):
+        start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("out"))
+
+        def step(acc, row):
+            fires = acc["last"].isNull() | (row["t"] - acc["last"] >= span)
+            fired = F.struct(row["t"].alias("last"), F.array_append(acc["out"], row["t"]).alias("out"))
+            return F.when(fires, fired).otherwise(acc)
+
+        return F.aggregate(rows, start, step, lambda acc: acc["out"])
+
+    fold = Fold(
+        native=native,
+        summarise=lambda pdf, start: json.dumps(suppression_summary(pdf["t"].to_numpy(), start, span)),
+        advance=lambda summary, entry: suppression_exit(json.loads(summary), entry, span),
+        replay=lambda pdf, entry: pdf["t"].iloc[suppression_firings(pdf["t"].to_numpy(), entry, span)].tolist(),
+        initial=FREE,
+        encode=json.dumps,
+        decode=json.loads,
     )
+    times = shaped.select(key, time).distinct().select(key, micros(time).alias("t"))
+    fired = fold_by_key(times, key, fold, slot_micros, hot_rows, chunk_rows)
+    fired = fired.select(key, F.timestamp_micros("t").alias(time))
+    return instants.join(fired, [key, time], "left_semi").select(*alerts.columns)
 
 
 # --- lockout policy ----------------------------------------------------------------
@@ -172,7 +179,9 @@ def lockout_replay(
     reset_minutes: int = vocab.LOCKOUT_RESET_MINUTES,
     duration_minutes: int = vocab.LOCKOUT_DURATION_MINUTES,
     time: TimeRange | None = None,
-    chunk_micros: int = HOUR,
+    slot_micros: int = HOUR,
+    hot_rows: int = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Lockouts the account policy predicts from failed logons.
 
@@ -191,8 +200,28 @@ def lockout_replay(
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
+    def native(rows):
+        start = F.struct(
+            F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("last"),
+            F.lit(0).cast("bigint").alias("until"), F.array().cast("array<bigint>").alias("out"),
+        )
+
+        def step(acc, row):
+            t = row["t"]
+            fresh = (acc["c"] == 0) | (t - acc["last"] >= reset)
+            count = F.when(fresh, F.lit(0)).otherwise(acc["c"]) + row["n"]
+            locked = F.struct(
+                F.lit(0).cast("bigint").alias("c"), t.alias("last"), (t + duration).alias("until"),
+                F.array_append(acc["out"], t).alias("out"),
+            )
+            counted = F.struct(
+                count.cast("bigint").alias("c"), t.alias("last"), acc["until"].alias("until"), acc["out"].alias("out")
+            )
+            return F.when(t < acc["until"], acc).when(count >= bad_count, locked).otherwise(counted)
+
+        return F.aggregate(rows, start, step, lambda acc: acc["out"])
+
     def load(pdf: pd.DataFrame) -> _Attempts:
-        pdf = pdf.sort_values("t")
         # Failures of the instant that locks fall into the lock itself, so
         # repeats beyond ``bad_count`` never matter.
         repeats = np.minimum(pdf["n"].to_numpy(), bad_count)
@@ -231,7 +260,7 @@ def lockout_replay(
                 return exit_state
         return state
 
-    def replay(pdf: pd.DataFrame, state: list) -> pd.DataFrame:
+    def replay(pdf: pd.DataFrame, state: list) -> list:
         a = load(pdf)
         n = len(a.t)
         count, until = _enter(int(a.t[0]), state, reset)
@@ -245,13 +274,10 @@ def lockout_replay(
             locks.append(int(a.t[lock]))
             i = int(np.searchsorted(a.t, a.t[lock] + duration, "left"))
             lock = int(a.lock[i]) if i < n else n
-        return pd.DataFrame({"account": pdf["account"].iloc[0], "t": locks})
+        return locks
 
-    folded = chunked_fold(
-        attempts, "account", chunk_micros, summarise, advance, replay, [0, 0, 0],
-        "account string, t bigint", json.dumps, json.loads,
-    )
-    return folded.select(
+    fold = Fold(native, summarise, advance, replay, [0, 0, 0], json.dumps, json.loads)
+    return fold_by_key(attempts, "account", fold, slot_micros, hot_rows, chunk_rows).select(
         "account",
         F.timestamp_micros("t").alias("locked_at"),
         F.timestamp_micros(F.col("t") + duration).alias("unlocks_at"),
