@@ -50,8 +50,25 @@ def parse_access(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+EVENT_XML = """
+    System struct<EventID: string>,
+    EventData struct<Data: array<struct<_Name: string, _VALUE: string>>>
+"""
+
+
+def parse_event_xml(df: DataFrame, column: str = "xml", alias: str = "event") -> DataFrame:
+    """Parse each event document once; read single values with :func:`event_data`."""
+    return df.withColumn(alias, F.from_xml(column, EVENT_XML))
+
+
+def event_data(name: str, event: str = "event") -> Column:
+    """Text of the first ``Data`` element of that name; empty when blank or absent."""
+    named = F.filter(F.col(f"{event}.EventData.Data"), lambda item: item["_Name"] == name)
+    return F.coalesce(F.get(named, 0)["_VALUE"], F.lit(""))
+
+
 def xml_data(xml: Column | str, name: str) -> Column:
-    """Text of the ``Data`` element with the given ``Name`` attribute."""
+    """One named ``Data`` value by XPath; for several values parse once instead."""
     return F.xpath_string(xml, F.lit(f"//Data[@Name='{name}']"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightdesk import vocab
@@ -152,8 +152,10 @@ def with_display_names(df: DataFrame, table: str) -> DataFrame:
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """One row per key: the smallest by ``order`` and then by the other columns.
 
-    A min over a struct combines map-side, so a hot key costs one row per task.
+    A rank filter of 1 is applied below the shuffle too (group limit), so a hot
+    key sends one row per task.  Ordering by every column keeps the pick the
+    same when a lost task is computed again.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    picked = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_first"))
-    return picked.select(*keys, "_first.*").select(*df.columns)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(list(order) + rest or [F.lit(1)])))
+    return df.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")

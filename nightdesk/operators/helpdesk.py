@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightdesk import vocab
-from nightdesk.functions.parsing import line_level, xml_data
+from nightdesk.functions.parsing import event_data, line_level, parse_event_xml
 from nightdesk.functions.scalars import matches
 from nightdesk.functions.timerange import TimeRange, ts_lit
 
@@ -64,11 +64,11 @@ def crash_files(files: DataFrame, pattern: str = r"(?i)\.dmp$") -> DataFrame:
 
 def lockout_xml(xml_events: DataFrame, user: str | None = None, n: int | None = 10) -> DataFrame:
     """Newest lockout documents of a user, read from event XML text."""
-    rows = xml_events.select(
+    rows = parse_event_xml(xml_events).select(
         "_time",
-        F.xpath_string("xml", F.lit("//EventID")).alias("event_id"),
-        xml_data("xml", "TargetUserName").alias("user"),
-        xml_data("xml", "CallerComputerName").alias("source"),
+        F.col("event.System.EventID").alias("event_id"),
+        event_data("TargetUserName").alias("user"),
+        event_data("CallerComputerName").alias("source"),
     ).filter(F.col("event_id") == vocab.LOCKED_OUT)
     if user is not None:
         rows = rows.filter(F.col("user") == user)

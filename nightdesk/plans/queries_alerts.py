@@ -165,8 +165,7 @@ def st09(spark, d):
 
 
 def _stream(spark, d):
-    schema = bridge.table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    raw = spark.readStream.schema(bridge.TABLES["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
     return bridge.win_event_columns(raw)
 
 

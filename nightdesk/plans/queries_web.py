@@ -94,11 +94,11 @@ def w08(spark, d):
 @query("x03_xml_data", with_(WIN) + """SELECT EventCode AS code, Account_Name[1] AS user, caller AS source, count(*) AS n
   FROM win GROUP BY ALL""")
 def x03(spark, d):
-    xml = bridge.event_xml(bridge.win_event(spark, d))
+    xml = parsing.parse_event_xml(bridge.event_xml(bridge.win_event(spark, d)))
     return xml.groupBy(
-        F.xpath_string("xml", F.lit("//EventID")).alias("code"),
-        parsing.xml_data("xml", "TargetUserName").alias("user"),
-        parsing.xml_data("xml", "CallerComputerName").alias("source"),
+        F.col("event.System.EventID").alias("code"),
+        parsing.event_data("TargetUserName").alias("user"),
+        parsing.event_data("CallerComputerName").alias("source"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
