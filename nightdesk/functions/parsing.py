@@ -30,19 +30,21 @@ def parse_access(lines: DataFrame, column: str = "value") -> DataFrame:
 
     One regex pass per line: the match is rewritten to a separated row and
     split.  Lines the pattern does not match keep null fields; lines that hold
-    the separator themselves take the field-by-field route.
+    the separator themselves take the field-by-field route, which stays out of
+    the plan for fields a query does not read.
     """
     line = F.col(column)
     row = F.split(F.regexp_replace(line, _WHOLE_LINE, _GROUPS), _MARK)
-    matched = F.size(row) == 10
-    slow = F.array(F.lit(""), *[F.regexp_extract(line, vocab.ACCESS_LINE, i) for i in range(1, 10)])
-    parts = F.when(
-        line.contains(_MARK), F.when(line.rlike(vocab.ACCESS_LINE), slow)
-    ).when(matched, row)
-    parsed = lines.select("*", parts.alias("_parts"))
-    fields = [F.get("_parts", i + 1).alias(name) for i, name in enumerate(vocab.ACCESS_FIELDS)]
     keep = [c for c in lines.columns if c != column]
-    return parsed.select(*keep, *fields, access_time(line).alias("_time"), line.alias("_raw")).withColumns(
+    split = lines.select(*keep, line.alias("_raw"), F.when(F.size(row) == 10, row).alias("_parts"))
+    raw = F.col("_raw")
+
+    def field(i: int) -> Column:
+        odd = F.when(raw.rlike(vocab.ACCESS_LINE), F.regexp_extract(raw, vocab.ACCESS_LINE, i))
+        return F.when(raw.contains(_MARK), odd).otherwise(F.get("_parts", i))
+
+    fields = [field(i + 1).alias(name) for i, name in enumerate(vocab.ACCESS_FIELDS)]
+    return split.select(*keep, *fields, access_time(raw).alias("_time"), "_raw").withColumns(
         {
             "bytes_sent": to_number("bytes", "bigint"),
             "status_class": status_class("status"),

@@ -159,3 +159,19 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ())
     rest = [c for c in df.columns if c not in keys and c not in order]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(list(order) + rest or [F.lit(1)])))
     return df.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
+
+
+def left_lookup(df: DataFrame, on: str, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join of a lookup that has one row per ``key``; the key column is dropped.
+
+    The engine broadcasts the lookup while its size is under the session's
+    threshold.  Beyond it both sides shuffle, and a hot key must be split over
+    tasks: adaptive execution does that only when each side has a shuffle of
+    its own for the join.  A lookup that was just aggregated by its key has
+    none, so the key is written as a new expression here, which adds one.
+    """
+    text = lookup.schema[key].dataType.typeName() == "string"
+    fresh = F.concat(F.col(key), F.lit("")) if text else F.col(key).cast("string")
+    right = lookup.select(fresh.alias("_lookup"), *[c for c in lookup.columns if c != key])
+    left = F.col(on) if text else F.col(on).cast("string")
+    return df.join(right, left == F.col("_lookup"), "left").drop("_lookup")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightdesk import vocab
-from nightdesk.functions.scalars import contains_text, date_or, list_text
+from nightdesk.functions.scalars import contains_text, date_or, left_lookup, list_text
 from nightdesk.functions.timerange import as_datetime
 
 
@@ -17,7 +17,7 @@ def memberships(users: DataFrame, groups: DataFrame) -> DataFrame:
     """
     pairs = users.select("sam", F.explode("groups").alias("group")).distinct()
     known = groups.select(F.col("name").alias("group"), F.lit("OK").alias("_known")).distinct()
-    return pairs.join(known, "group", "left").select(
+    return left_lookup(pairs, "group", known.withColumnRenamed("group", "_name"), "_name").select(
         "sam", "group", F.coalesce("_known", F.lit("WARN")).alias("status")
     )
 
@@ -149,12 +149,10 @@ def plan_group_changes(
     member = pairs.select(
         F.lower("sam").alias("_s"), F.lower("group").alias("_g"), F.lit(True).alias("is_member")
     ).distinct()
-    base = (
-        requests.withColumns({"_s": F.lower("sam"), "_g": F.lower("group")})
-        .join(catalogue, "_g", "left")
-        .join(accounts, "_s", "left")
-        .join(member, ["_s", "_g"], "left")
-    )
+    named = requests.withColumns({"_s": F.lower("sam"), "_g": F.lower("group")})
+    named = left_lookup(left_lookup(named, "_g", catalogue.withColumnRenamed("_g", "_c"), "_c"),
+                        "_s", accounts.withColumnRenamed("_s", "_a"), "_a")
+    base = named.join(member, ["_s", "_g"], "left")
     missing = requests.select(F.col("group").alias("wanted")).distinct().join(
         catalogue, F.lower("wanted") == F.col("_g"), "left_anti"
     )
@@ -169,7 +167,7 @@ def plan_group_changes(
         .otherwise(F.lit("SUCCESS"))
     )
     return (
-        base.join(hints, F.col("group") == F.col("wanted"), "left")
+        left_lookup(base, "group", hints, "wanted")
         .withColumn("result", result)
         .select(
             "request_id",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightdesk import vocab
-from nightdesk.functions.scalars import first_per_key, ticket_source
+from nightdesk.functions.scalars import first_per_key, left_lookup, ticket_source
 from nightdesk.functions.timerange import as_datetime, ts_lit
 from nightdesk.sources.sinks import keep_unless
 
@@ -25,13 +25,12 @@ def resolve(
     """Look ``df[on]`` up in ``dim[name]`` and add ``dim[value]`` as ``alias``.
 
     The dimension is reduced to one row per name first, so the join can never
-    multiply rows.  Its build side is broadcast by the engine while its size is
-    under the session's threshold and shuffled with skew handling beyond it.
+    multiply rows.
     """
     one = dim.groupBy(F.col(name).alias("_name")).agg(F.min(value).alias("_value"))
-    joined = df.join(one, F.col(on) == F.col("_name"), "left")
+    joined = left_lookup(df, on, one, "_name")
     found = F.col("_value") if default is None else F.coalesce("_value", F.lit(default))
-    return joined.withColumn(alias, found).drop("_name", "_value")
+    return joined.withColumn(alias, found).drop("_value")
 
 
 def load_topics(existing: DataFrame, new: DataFrame, sla: DataFrame, departments: DataFrame) -> DataFrame:
@@ -105,12 +104,12 @@ def build_tickets(
     mails = dims["user_email"].groupBy(F.col("address").alias("_address")).agg(
         F.min(F.struct("id", "user_id")).alias("_mail")
     )
-    rows = rows.join(mails, F.col("user_email") == F.col("_address"), "left").withColumns(
+    rows = left_lookup(rows, "user_email", mails, "_address").withColumns(
         {
             "user_id": F.coalesce(F.col("_mail.user_id"), F.lit("0")),
             "user_email_id": F.coalesce(F.col("_mail.id"), F.lit("0")),
         }
-    ).drop("_address", "_mail")
+    ).drop("_mail")
     rows = resolve(rows, dims["department"], "dept_name", "name", "id", "dept_id")
     rows = resolve(rows, dims["help_topic"], "topic_name", "topic", "topic_id", "topic_id")
     rows = resolve(rows, dims["sla"], "sla_name", "name", "id", "sla_id")
@@ -188,7 +187,7 @@ def build_entries(tickets: DataFrame, users: DataFrame, staff: DataFrame) -> Dat
         F.min(F.concat("firstname", F.lit(" "), "lastname")).alias("_poster")
     )
     common = {"flags": F.lit(0), "format": F.lit("html")}
-    messages = tickets.join(posters, F.col("user_id") == F.col("_id"), "left").select(
+    messages = left_lookup(tickets, "user_id", posters, "_id").select(
         F.col("ticket_id").alias("thread_id"),
         F.lit(0).alias("staff_id"),
         "user_id",
@@ -203,7 +202,7 @@ def build_entries(tickets: DataFrame, users: DataFrame, staff: DataFrame) -> Dat
         F.col("_poster").alias("poster"),
     )
     answered = tickets.filter(F.col("reply").isNotNull() & (F.col("staff_id") > 0))
-    replies = answered.join(agents, F.col("staff_id") == F.col("_id"), "left").select(
+    replies = left_lookup(answered, "staff_id", agents, "_id").select(
         F.col("ticket_id").alias("thread_id"),
         "staff_id",
         F.lit("0").alias("user_id"),
@@ -260,7 +259,7 @@ def people_listing(staff: DataFrame, users: DataFrame, emails: DataFrame) -> Dat
         "email",
         F.when(F.col("isadmin") == 1, F.lit("Admin")).otherwise(F.lit("Agent")).alias("role"),
     )
-    requesters = users.join(mail, F.col("id") == F.col("_id"), "left").select(
+    requesters = left_lookup(users, "id", mail, "_id").select(
         F.lit("End User").alias("type"), "name", "email", F.lit("Requester").alias("role")
     )
     return agents.unionByName(requesters).orderBy("type", "name", "email")

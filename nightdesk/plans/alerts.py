@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from nightdesk import vocab
 from nightdesk.functions.scalars import (
-    distinct_values, label, matches, nth, risk, source_ip, time_text, to_number, yes_no,
+    distinct_values, label, left_lookup, matches, nth, risk, source_ip, time_text, to_number, yes_no,
 )
 from nightdesk.functions.timerange import TimeRange, bucket
 from nightdesk.operators.base import security
@@ -110,13 +110,12 @@ def search_new_account(events: DataFrame, time: TimeRange | None = None, carry=(
 def lookup_output_new(df: DataFrame, lookup: DataFrame, on: str, key: str, output: str) -> DataFrame:
     """Left lookup that fills ``output`` only where the row does not have it yet.
 
-    The lookup is reduced to one row per key, so it can never multiply rows;
-    the engine broadcasts it while it is under its size threshold.
+    The lookup is reduced to one row per key, so it can never multiply rows.
     """
     one = lookup.groupBy(F.col(key).alias("_key")).agg(F.min(output).alias("_new"))
-    joined = df.join(one, F.col(on) == F.col("_key"), "left")
+    joined = left_lookup(df, on, one, "_key")
     current = F.coalesce(F.col(output), F.col("_new")) if output in df.columns else F.col("_new")
-    return joined.withColumn(output, current).drop("_key", "_new")
+    return joined.withColumn(output, current).drop("_new")
 
 
 def after_hours(time: str = "_time", hours: tuple[int, int] = vocab.BUSINESS_HOURS) -> Column:
