@@ -37,6 +37,8 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            # Call-site capture costs a round trip per column expression.
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
         },
     )

@@ -9,17 +9,44 @@ from nightdesk import vocab
 from nightdesk.functions.scalars import status_class, to_number
 
 _MARK = "\u0001"
-# Same pattern, extended to swallow the rest of the line and to write the nine
-# groups out with a separator that access logs escape and so never contain raw.
-_WHOLE_LINE = "(?s)" + vocab.ACCESS_LINE + ".*"
-_GROUPS = _MARK + _MARK.join(f"${i}" for i in range(1, 10))
 _BRACKET_TIME = r"^[^\[]*\[(\d{1,2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})"
 
-AUDIT_LINE = r"^\[([^\]]+)\]\[(\w+)\](?: \[TKT:([^\]]*)\])? \[([^\]]*)\] (.*)$"
-INSTALL_LINE = r"^\[([^\]]+)\]\[(\w+)\]\s*(?:\[[^\]]*\]\s*)?(.*)$"
+AUDIT_LINE = r"^\[([^\]]+)\]\[(\w+)\](?: \[TKT:([^\]]*)\])? \[([^\]]*)\] (.*)"
+INSTALL_LINE = r"^\[([^\]]+)\]\[(\w+)\]\s*(?:\[[^\]]*\]\s*)?(.*)"
 ACTION_TEXT = r"^ACTION:\s*([^|]*?)\s*(?:\|\s*(.*))?$"
 
 
+def capture(lines: DataFrame, column: str, pattern: str, names: list[str]) -> DataFrame:
+    """The groups of ``pattern`` as text columns; null where a line does not match.
+
+    One regex pass per line: the match (extended to the end of the line) is
+    rewritten to a separated row, which is then split.  Lines that hold the
+    separator themselves take the field-by-field route, which stays out of the
+    plan for fields a query does not read.  The text itself stays as ``_raw``.
+    """
+    line, raw, parts = F.col(column), F.col("_raw"), F.col("_parts")
+    groups = _MARK + _MARK.join(f"${i}" for i in range(1, len(names) + 1))
+    row = F.split(F.regexp_replace(line, f"(?s){pattern}.*", groups), _MARK)
+    keep = [c for c in lines.columns if c != column]
+    split = lines.select(*keep, line.alias("_raw"), once(row).alias("_parts"))
+
+    def field(i: int) -> Column:
+        odd = F.when(raw.rlike(pattern), F.regexp_extract(raw, pattern, i))
+        even = F.when(F.size(parts) == len(names) + 1, F.get(parts, i))
+        return F.when(raw.contains(_MARK), odd).otherwise(even)
+
+    return split.select(*keep, "_raw", *[field(i + 1).alias(name) for i, name in enumerate(names)])
+
+
+def once(c: Column) -> Column:
+    """Evaluate a costly expression once per row.
+
+    As a generator of one element it cannot be copied into every filter and
+    projection that refers to it.
+    """
+    return F.explode(F.array(c))
+
+
 def access_time(line: Column) -> Column:
     """Event time: the first bracketed stamp of the raw line."""
     return F.try_to_timestamp(F.regexp_extract(line, _BRACKET_TIME, 1), F.lit(vocab.ACCESS_TIME))
@@ -28,24 +55,12 @@ def access_time(line: Column) -> Column:
 def parse_access(lines: DataFrame, column: str = "value") -> DataFrame:
     """Combined-format access lines to nine text fields, ``_time`` and ``status_class``.
 
-    One regex pass per line: the match is rewritten to a separated row and
-    split.  Lines the pattern does not match keep null fields; lines that hold
-    the separator themselves take the field-by-field route, which stays out of
-    the plan for fields a query does not read.
+    Lines the pattern does not match keep null fields; the time is read from
+    the first bracketed stamp of any line.
     """
-    line = F.col(column)
-    row = F.split(F.regexp_replace(line, _WHOLE_LINE, _GROUPS), _MARK)
-    keep = [c for c in lines.columns if c != column]
-    split = lines.select(*keep, line.alias("_raw"), F.when(F.size(row) == 10, row).alias("_parts"))
-    raw = F.col("_raw")
-
-    def field(i: int) -> Column:
-        odd = F.when(raw.rlike(vocab.ACCESS_LINE), F.regexp_extract(raw, vocab.ACCESS_LINE, i))
-        return F.when(raw.contains(_MARK), odd).otherwise(F.get("_parts", i))
-
-    fields = [field(i + 1).alias(name) for i, name in enumerate(vocab.ACCESS_FIELDS)]
-    return split.select(*keep, *fields, access_time(raw).alias("_time"), "_raw").withColumns(
+    return capture(lines, column, vocab.ACCESS_LINE, vocab.ACCESS_FIELDS).withColumns(
         {
+            "_time": access_time(F.col("_raw")),
             "bytes_sent": to_number("bytes", "bigint"),
             "status_class": status_class("status"),
         }
@@ -60,7 +75,7 @@ EVENT_XML = """
 
 def parse_event_xml(df: DataFrame, column: str = "xml", alias: str = "event") -> DataFrame:
     """Parse each event document once; read single values with :func:`event_data`."""
-    return df.withColumn(alias, F.from_xml(column, EVENT_XML))
+    return df.select("*", once(F.from_xml(column, EVENT_XML)).alias(alias))
 
 
 def event_data(name: str, event: str = "event") -> Column:
@@ -79,7 +94,8 @@ def _group(c: Column, pattern: str, i: int) -> Column:
 
 
 def action_name(message: Column | str) -> Column:
-    return _group(F.col(message) if isinstance(message, str) else message, ACTION_TEXT, 1)
+    message = F.col(message) if isinstance(message, str) else message
+    return F.when(message.startswith("ACTION:"), _group(message, ACTION_TEXT, 1))
 
 
 def action_fields(message: Column | str) -> Column:
@@ -89,7 +105,8 @@ def action_fields(message: Column | str) -> Column:
     would fail the whole job on one odd line.
     """
     message = F.col(message) if isinstance(message, str) else message
-    pairs = F.split(_group(message, ACTION_TEXT, 2), r"\s*\|\s*")
+    tail = F.when(message.startswith("ACTION:"), _group(message, ACTION_TEXT, 2))
+    pairs = F.split(tail, r"\s*\|\s*")
     keys = F.transform(pairs, lambda p: F.split_part(p, F.lit("="), F.lit(1)))
     entries = F.transform(
         pairs,
@@ -103,33 +120,27 @@ def action_fields(message: Column | str) -> Column:
     )
 
 
+def _stamp(c: str) -> Column:
+    return F.try_to_timestamp(F.col(c), F.lit(vocab.SECOND))
+
+
 def parse_audit(lines: DataFrame, column: str = "value") -> DataFrame:
     """Helpdesk audit lines to ts, level, ticket, agent, message, action, kv."""
-    line = F.col(column)
-    keep = [c for c in lines.columns if c != column]
-    base = lines.select(
-        *keep,
-        F.try_to_timestamp(F.regexp_extract(line, AUDIT_LINE, 1), F.lit(vocab.SECOND)).alias("ts"),
-        _group(line, AUDIT_LINE, 2).alias("level"),
-        _group(line, AUDIT_LINE, 3).alias("ticket"),
-        _group(line, AUDIT_LINE, 4).alias("agent"),
-        _group(line, AUDIT_LINE, 5).alias("message"),
-        line.alias("_raw"),
+    parts = capture(lines, column, AUDIT_LINE, ["ts", "level", "ticket", "agent", "message"])
+    return parts.withColumns(
+        {
+            "ts": _stamp("ts"),
+            "ticket": F.nullif("ticket", F.lit("")),
+            "action": action_name("message"),
+            "kv": action_fields("message"),
+        }
     )
-    return base.withColumns({"action": action_name("message"), "kv": action_fields("message")})
 
 
 def parse_install(lines: DataFrame, column: str = "value") -> DataFrame:
     """Agent-installer lines: no agent field, padding after the level allowed."""
-    line = F.col(column)
-    keep = [c for c in lines.columns if c != column]
-    return lines.select(
-        *keep,
-        F.try_to_timestamp(F.regexp_extract(line, INSTALL_LINE, 1), F.lit(vocab.SECOND)).alias("ts"),
-        _group(line, INSTALL_LINE, 2).alias("level"),
-        _group(line, INSTALL_LINE, 3).alias("message"),
-        line.alias("_raw"),
-    )
+    parts = capture(lines, column, INSTALL_LINE, ["ts", "level", "message"])
+    return parts.withColumn("ts", _stamp("ts"))
 
 
 def prefix_level(message: Column | str) -> Column:

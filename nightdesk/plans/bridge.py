@@ -80,76 +80,63 @@ def raw_events(
     return raw
 
 
+def _case(index: str, *texts: str | None) -> str:
+    """SQL text: one of the values by position."""
+    items = ", ".join("NULL" if t is None else f"'{t}'" for t in texts)
+    return f"get(array({items}), cast({index} AS int))"
+
+
 def win_event_columns(raw: DataFrame) -> DataFrame:
     """Security events from event rows; works on batch and streaming input."""
-    e, kind = F.col("event_id"), F.col("event_type")
-    code = (
-        F.when(kind == "error", F.lit("4625"))
-        .when(kind == "click", F.when(e % 5 == 0, F.lit("4648")).otherwise(F.lit("4624")))
-        .when(kind == "signup", _pick(e % 4, ["4720", "4722", "4738", "4724"]))
-        .when(kind == "purchase", _pick(e % 4, ["4740", "4740", "4767", "4726"]))
-        .when(kind == "view", _pick(e % 8, ["5136", "5137", "5141", "4719", "4728", "4732", "4756", "4723"]))
-    )
-    user = _mod("user_id", 20)
-    acct = (
-        F.when(user == 3, F.lit("svc_backup"))
-        .when(user == 7, F.lit("adm_jsmith"))
-        .when(user == 9, F.lit("mchen"))
-        .otherwise(F.concat(F.lit("user"), F.col("user_id").cast("string")))
-    )
-    is_group = F.col("EventCode").isin(vocab.GROUP_ADD_CODES)
-    is_object = F.col("EventCode").isin(vocab.OBJECT_CODES)
-    groups = ["Domain Admins", "Backup Operators", "GRP-VPN-Users", "GRP-HR-Staff", "administrators", "GRP-IT-Admins"]
-    status = ["0xC000006D", "0xC0000234", "0xC0000072", "0xC000006F", "0xC0000070", "0xC0000193", "0xC0000001", "0xC0000002"]
-    base = raw.select("event_id", "event_type", "ts", "user_id").withColumns(
-        {"EventCode": code, "acct": acct}
-    )
-    return base.select(
-        F.col("ts").cast("timestamp").alias("_time"),
-        F.when(e % 10 == 0, F.lit("DC02")).otherwise(F.lit("DC01")).alias("host"),
-        F.lit(vocab.SECURITY_INDEX).alias("index"),
-        F.lit(vocab.SECURITY_SOURCETYPE).alias("sourcetype"),
+    code = f"""CASE event_type
+        WHEN 'error' THEN '4625'
+        WHEN 'click' THEN if(event_id % 5 = 0, '4648', '4624')
+        WHEN 'signup' THEN {_case("event_id % 4", "4720", "4722", "4738", "4724")}
+        WHEN 'purchase' THEN {_case("event_id % 4", "4740", "4740", "4767", "4726")}
+        WHEN 'view' THEN {_case("event_id % 8", "5136", "5137", "5141", "4719", "4728", "4732", "4756", "4723")}
+        END AS EventCode"""
+    acct = """CASE user_id % 20 WHEN 3 THEN 'svc_backup' WHEN 7 THEN 'adm_jsmith' WHEN 9 THEN 'mchen'
+        ELSE concat('user', user_id) END AS acct"""
+    is_group = "EventCode IN ('4728', '4732', '4756')"
+    is_object = "EventCode IN ('5136', '5137', '5141')"
+    group = _case("event_id % 6", "Domain Admins", "Backup Operators", "GRP-VPN-Users", "GRP-HR-Staff",
+                  "administrators", "GRP-IT-Admins")
+    logon_type = _case("event_id % 9", "2", "3", "4", "5", "7", "8", "9", "10", "11")
+    status = _case("event_id % 8", "0xC000006D", "0xC0000234", "0xC0000072", "0xC000006F", "0xC0000070",
+                   "0xC0000193", "0xC0000001", "0xC0000002")
+    attribute = _case("event_id % 4", "gPCFileSysPath", "versionNumber", "displayName", None)
+    policy = _case("event_id % 3", "Success removed", "Failure added", None)
+    return raw.selectExpr("event_id", "event_type", "ts", "user_id", code, acct).selectExpr(
+        "cast(ts AS timestamp) AS _time",
+        "if(event_id % 10 = 0, 'DC02', 'DC01') AS host",
+        f"'{vocab.SECURITY_INDEX}' AS index",
+        f"'{vocab.SECURITY_SOURCETYPE}' AS sourcetype",
         "EventCode",
-        F.when(
-            kind.isin("error", "click"),
-            F.when(e % 17 == 0, F.array(F.lit("DC01$"))).otherwise(F.array(F.lit("DC01$"), F.col("acct"))),
-        ).otherwise(F.array("acct")).alias("Account_Name"),
-        F.when(is_group, F.array(_pick(e % 6, groups))).otherwise(F.array("acct")).alias("Target_Account_Name"),
-        F.array(
-            F.when(e % 5 == 0, F.lit("Administrator")).when(e % 5 == 1, F.lit("SYSTEM")).otherwise(F.col("acct"))
-        ).alias("Subject_Account_Name"),
-        F.when(e % 23 != 0, F.array(F.lit("CORP"))).alias("Subject_Account_Domain"),
-        F.when(
-            is_group & (e % 19 != 0), F.array(F.concat(F.lit("user"), (F.col("user_id") * 7 % 1000).cast("string")))
-        ).alias("Member_Account_Name"),
-        F.array(
-            F.when(e % 7 == 0, F.lit(""))
-            .when(e % 7 == 1, F.lit("SRV1"))
-            .otherwise(F.concat(F.lit("WS"), (e % 7).cast("string")))
-        ).alias("Caller_Computer_Name"),
-        _pick(e % 9, ["2", "3", "4", "5", "7", "8", "9", "10", "11"]).alias("Logon_Type"),
-        _pick(e % 8, status).alias("Status"),
-        F.when((e % 8).isin(0, 6), F.lit("0xC0000064"))
-        .when(e % 8 == 7, F.lit("0x0"))
-        .otherwise(F.lit("0xC000006E"))
-        .alias("Sub_Status"),
-        F.when(e % 11 == 0, F.lit(None).cast("string"))
-        .when(e % 13 == 0, F.lit("127.0.0.1"))
-        .otherwise(F.concat(F.lit("10.0.0."), (e % 20).cast("string")))
-        .alias("IpAddress"),
-        F.when(e % 22 == 0, F.lit("-")).alias("Source_Network_Address"),
-        F.when(e % 15 != 0, F.concat(F.lit("WS"), (e % 30).cast("string"))).alias("WorkstationName"),
-        F.when(e % 3 == 0, F.lit("user")).otherwise(F.lit("groupPolicyContainer")).alias("Object_Class"),
-        F.when(
-            is_object & (e % 29 != 0),
-            F.array(F.concat(F.lit("CN={gpo"), (e % 12).cast("string"), F.lit("},CN=Policies,CN=System"))),
-        ).alias("Object_DN"),
-        _pick(e % 4, ["gPCFileSysPath", "versionNumber", "displayName", None]).alias("LDAP_Display_Name"),
-        F.when(e % 5 != 0, F.concat(F.lit("v"), (e % 7).cast("string"))).alias("Old_Value"),
-        F.when(e % 6 != 0, F.concat(F.lit("v"), (e % 9).cast("string"))).alias("New_Value"),
-        F.when(
-            F.col("EventCode") == "4719", _pick(e % 3, ["Success removed", "Failure added", None])
-        ).alias("Policy_Change"),
+        """CASE WHEN event_type NOT IN ('error', 'click') THEN array(acct)
+            WHEN event_id % 17 = 0 THEN array('DC01$') ELSE array('DC01$', acct) END AS Account_Name""",
+        f"array(if({is_group}, {group}, acct)) AS Target_Account_Name",
+        """array(CASE event_id % 5 WHEN 0 THEN 'Administrator' WHEN 1 THEN 'SYSTEM' ELSE acct END)
+            AS Subject_Account_Name""",
+        "if(event_id % 23 <> 0, array('CORP'), NULL) AS Subject_Account_Domain",
+        f"""if({is_group} AND event_id % 19 <> 0, array(concat('user', user_id * 7 % 1000)), NULL)
+            AS Member_Account_Name""",
+        """array(CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'SRV1' ELSE concat('WS', event_id % 7) END)
+            AS Caller_Computer_Name""",
+        f"{logon_type} AS Logon_Type",
+        f"{status} AS Status",
+        """CASE WHEN event_id % 8 IN (0, 6) THEN '0xC0000064' WHEN event_id % 8 = 7 THEN '0x0'
+            ELSE '0xC000006E' END AS Sub_Status""",
+        """CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN '127.0.0.1'
+            ELSE concat('10.0.0.', event_id % 20) END AS IpAddress""",
+        "if(event_id % 22 = 0, '-', NULL) AS Source_Network_Address",
+        "if(event_id % 15 <> 0, concat('WS', event_id % 30), NULL) AS WorkstationName",
+        "if(event_id % 3 = 0, 'user', 'groupPolicyContainer') AS Object_Class",
+        f"""if({is_object} AND event_id % 29 <> 0,
+            array(concat('CN={{gpo', event_id % 12, '}},CN=Policies,CN=System')), NULL) AS Object_DN""",
+        f"{attribute} AS LDAP_Display_Name",
+        "if(event_id % 5 <> 0, concat('v', event_id % 7), NULL) AS Old_Value",
+        "if(event_id % 6 <> 0, concat('v', event_id % 9), NULL) AS New_Value",
+        f"if(EventCode = '{vocab.AUDIT_POLICY_CHANGED}', {policy}, NULL) AS Policy_Change",
     )
 
 
