@@ -180,51 +180,43 @@ def build_cdata(tickets: DataFrame) -> DataFrame:
 
 
 def build_entries(tickets: DataFrame, users: DataFrame, staff: DataFrame) -> DataFrame:
-    """The user's message and, with a reply and a known agent, the agent's answer."""
+    """The user's message and, with a reply and a known agent, the agent's answer.
+
+    Each ticket is read once and unfolded into its one or two entries.
+    """
     created = F.col("created")
     posters = users.groupBy(F.col("id").alias("_id")).agg(F.min("name").alias("_poster"))
     agents = staff.groupBy(F.col("staff_id").alias("_id")).agg(
-        F.min(F.concat("firstname", F.lit(" "), "lastname")).alias("_poster")
+        F.min(F.concat("firstname", F.lit(" "), "lastname")).alias("_agent")
     )
-    common = {"flags": F.lit(0), "format": F.lit("html")}
-    messages = left_lookup(tickets, "user_id", posters, "_id").select(
-        F.col("ticket_id").alias("thread_id"),
-        F.lit(0).alias("staff_id"),
-        "user_id",
-        F.lit("M").alias("type"),
-        common["flags"].alias("flags"),
-        "source",
-        common["format"].alias("format"),
-        F.col("subject").alias("title"),
-        "body",
-        "created",
-        created.alias("updated"),
-        F.col("_poster").alias("poster"),
+    named = left_lookup(left_lookup(tickets, "user_id", posters, "_id"), "staff_id", agents, "_id")
+
+    def entry(kind, staff_id, user_id, source, title, body, at, poster) -> Column:
+        return F.struct(
+            staff_id.cast("int").alias("staff_id"), user_id.alias("user_id"), F.lit(kind).alias("type"),
+            F.lit(0).alias("flags"), source.alias("source"), F.lit("html").alias("format"), title.alias("title"),
+            body.alias("body"), at.alias("created"), at.alias("updated"), poster.alias("poster"),
+        )
+
+    message = entry(
+        "M", F.lit(0), F.col("user_id"), F.col("source"), F.col("subject"), F.col("body"), created, F.col("_poster")
     )
-    answered = tickets.filter(F.col("reply").isNotNull() & (F.col("staff_id") > 0))
-    replies = left_lookup(answered, "staff_id", agents, "_id").select(
-        F.col("ticket_id").alias("thread_id"),
-        "staff_id",
-        F.lit("0").alias("user_id"),
-        F.lit("R").alias("type"),
-        common["flags"].alias("flags"),
-        F.lit("Web").alias("source"),
-        common["format"].alias("format"),
-        F.concat(F.lit("Re: "), F.col("subject")).alias("title"),
-        F.col("reply").alias("body"),
-        reply_time(created).alias("created"),
-        reply_time(created).alias("updated"),
-        F.col("_poster").alias("poster"),
+    answer = entry(
+        "R", F.col("staff_id"), F.lit("0"), F.lit("Web"), F.concat(F.lit("Re: "), F.col("subject")), F.col("reply"),
+        reply_time(created), F.col("_agent"),
     )
-    return messages.unionByName(replies)
+    answered = F.col("reply").isNotNull() & (F.col("staff_id") > 0)
+    entries = F.array_compact(F.array(message, F.when(answered, answer)))
+    return named.select(F.col("ticket_id").alias("thread_id"), F.inline(entries))
 
 
 def ticket_report(
-    tickets: DataFrame, cdata: DataFrame, dims: Mapping[str, DataFrame], short: bool = False
+    tickets: DataFrame, cdata: DataFrame | None, dims: Mapping[str, DataFrame], short: bool = False
 ) -> DataFrame:
     """Ticket list with requester, agent, department and status, by number.
 
-    ``short`` cuts the subject to 45 characters and leaves out department and date.
+    ``cdata`` holds the subjects of stored tickets; pass None for tickets that
+    still carry theirs, which saves the join.  ``short`` cuts the subject to 45 characters and leaves out department and date.
     """
     users = dims["user"].select(F.col("id").alias("user_id"), F.col("name").alias("requester"))
     depts = dims["department"].select(F.col("id").alias("dept_id"), F.col("name").alias("department"))
@@ -232,10 +224,13 @@ def ticket_report(
     staff = dims["staff"].select(
         "staff_id", F.concat("firstname", F.lit(" "), "lastname").alias("agent")
     )
+    columns = ["number", "user_id", "dept_id", "status_id", "staff_id", "created"]
+    if cdata is None:
+        titled = tickets.select(*columns, "subject")
+    else:
+        titled = tickets.select("ticket_id", *columns).join(cdata.select("ticket_id", "subject"), "ticket_id")
     rows = (
-        tickets.select("ticket_id", "number", "user_id", "dept_id", "status_id", "staff_id", "created")
-        .join(cdata.select("ticket_id", "subject"), "ticket_id")
-        .join(users, "user_id")
+        titled.join(users, "user_id")
         .join(status, "status_id")
         .join(staff, "staff_id", "left")
     )

@@ -139,7 +139,7 @@ def tk05(spark, d):
   r_name AS department, {STATUS_NAME} AS status, strftime(created, {MICRO}) AS created FROM tk""")
 def tk06(spark, d):
     tickets, dims = build(spark, d)
-    return T.ticket_report(tickets, T.build_cdata(tickets), dims)
+    return T.ticket_report(tickets, None, dims)
 
 
 @query("tk06_ticket_report_short", TK + f"""SELECT number, substr(subject, 1, 45) AS subject, c_name AS requester,

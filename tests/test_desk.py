@@ -111,6 +111,7 @@ def test_seeded_tickets(seeded, dims):
     assert (status.count("Closed"), status.count("Resolved"), status.count("Open")) == (7, 2, 6)
     assert sum(r["department"] == "IT Helpdesk" for r in report) == 12
     assert report[0]["agent"] == "Ana Lopez"
+    assert rows(T.ticket_report(seeded, None, dims)) == [tuple(r) for r in report]
     short = T.ticket_report(seeded, T.build_cdata(seeded), dims, short=True)
     assert {len(r["subject"]) for r in short.collect()} == {45}
 
