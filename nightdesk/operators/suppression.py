@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import json
-import sys
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +15,6 @@ from nightdesk.functions.scalars import first_per_key, nth
 from nightdesk.functions.timerange import TimeRange
 from nightdesk.operators.base import security
 
-# Task functions travel with the plan, so workers need no installed copy.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 HOUR = 3600 * 1_000_000
 FREE = None
 

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import json
-import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -17,8 +15,6 @@ from nightdesk.functions.chunked import micros
 from nightdesk.functions.scalars import nth
 from nightdesk.operators.base import security
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 _OUTPUT = "key string, t bigint, payload string"
 
 
