@@ -250,11 +250,8 @@ def offboarding_report(
         F.lit(")\nDepartment: "), "department", F.lit("\nReason: "), "reason",
         F.lit("\nOffboarded by: "), "agent", F.lit("\nTicket: "), F.coalesce("ticket", F.lit("")),
         F.lit("\nMoved to: "), "moved_to", F.lit("\nGroups removed: "),
-        F.col("n_groups").cast("string"), F.lit("\n"), F.coalesce(none, listed),
+        F.col("n_groups").cast("string"), F.lit(" ("), list_text("groups_removed"), F.lit(")\n"),
+        F.coalesce(none, listed),
         F.lit("\nDelete after: "), F.col("delete_after").cast("string"),
     )
     return facts.withColumn("report", text)
-
-
-def groups_text(column: str = "groups_removed") -> Column:
-    return list_text(column)
