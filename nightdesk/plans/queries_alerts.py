@@ -7,15 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from nightdesk import vocab
 from nightdesk.functions.timerange import TimeRange
 from nightdesk.operators.suppression import lockout_replay, suppress
 from nightdesk.plans import alerts as A
 from nightdesk.plans import bridge
-from nightdesk.plans.bridge import NOW as T_NOW
 from nightdesk.plans.bridge import win_event
-from nightdesk.plans.queries_security import IP, POLICY, buckets, last, values
-from nightdesk.plans.registry import MICRO, NOW, SECOND, WIN, query, with_
+from nightdesk.plans.queries_security import IP, POLICY, buckets, values
+from nightdesk.plans.registry import MICRO, SECOND, WIN, query, with_
 from nightdesk.session import shared_folder
 from nightdesk.streaming import jobs
 from nightdesk.streaming.stateful import stream_lockout_replay, stream_suppress
