@@ -55,7 +55,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        table, names = space_table(), ["doc_id", "n", "s1", "s2", "bucket", "count"]
+        table, names = space_table(), ["doc_id", "key", "n", "s1", "s2", "bucket", "count"]
         for whole in batches:
             for batch in pieces(whole, "text"):
                 sets = shingle_sets(texts_of(batch.column("text")), width, table)
@@ -63,16 +63,18 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 marks = [_signature(s) for s in sets]
                 none = pa.nulls(len(sets), pa.int64())
                 columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, none, none], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns, none, none], names)
         full = np.flatnonzero(counts)
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(full, pa.int64()), pa.array(counts[full], pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(full), pa.binary()), none, none, none, pa.array(full, pa.int64()), pa.array(counts[full], pa.int64())], names)
 
-    return map_arrow(_narrow(docs), work, "doc_id long, n long, s1 long, s2 long, bucket long, count long")
+    return map_arrow(_keyed(docs), work, "doc_id long, key binary, n long, s1 long, s2 long, bucket long, count long")
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, key``; the key names the text as it is, null counting as empty."""
+    key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
 
 
 def matches_and_prefix(size: int, frequency: np.ndarray, percent: int) -> tuple[int, int]:
@@ -115,8 +117,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> D
                     [chosen.column("doc_id"), chosen.column("key"), *numbers, lists], ["doc_id", "key", "n", "s1", "s2", "matches", "tokens"]
                 )
 
-    keyed = _narrow(docs).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    found = map_arrow(keyed, work, "doc_id long, key binary, n long, s1 long, s2 long, matches long, tokens array<long>")
+    found = map_arrow(_keyed(docs), work, "doc_id long, key binary, n long, s1 long, s2 long, matches long, tokens array<long>")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("rep")
     same = found.groupBy("s1", "s2").agg(first, *[F.first(c).alias(c) for c in ("n", "matches", "tokens")])
     return same.select(
@@ -139,9 +140,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(texts_of(batch.column("text")), width, table)
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
 
-    keyed = _narrow(docs).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     wanted = nodes.select("node", F.col("doc_id").alias("of"), F.col("key").alias("of_key"))
-    texts = keyed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")))
+    texts = _keyed(docs).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")))
     return map_arrow(texts.select("node", "text"), work, "node long, tokens binary").dropDuplicates(["node"])
 
 
@@ -187,7 +187,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id, links`` and the node of its shingle set.
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id, links``, and ``comp, key`` (component and text).
 
     ``links`` counts the verified links of the row's node, which suffice to span its component.
     """
@@ -232,12 +232,31 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     named = written(named.withColumn("comp", F.coalesce("comp", "node")), f"{folder}/named")
     smallest = written(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), f"{folder}/smallest")
     named = written(named.join(smallest.hint("merge"), "comp").drop("doc_id"), f"{folder}/components")
-    plain = rows.where("bucket IS NULL")
-    found = plain.where("n > 0").join(named.hint("merge"), ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("links", F.lit(0)).alias("links"), "node")
-    alone = plain.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("node"))
+    plain = rows.where("bucket IS NULL").withColumnRenamed("n", "n_shingles")
+    found = plain.where("n_shingles > 0").join(named.hint("merge"), ["s1", "s2"])
+    found = found.select("doc_id", "n_shingles", "component_id", F.coalesce("links", F.lit(0)).alias("links"), "comp", "key")
+    alone = plain.where("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("comp"), "key"
+    )
     return found.unionByName(alone)
 
 
+def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, the one with the smallest ``doc_id``, and all rows without shingles."""
+    spark = docs.sparkSession
+    placed = written(groups(docs, width, percent), f"{run_folder(spark, 'jaccard')}/groups")
+    alike = placed.where("comp IS NOT NULL").groupBy("comp", "doc_id", "key").agg(F.count("*").alias("n"))
+    best = alike.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("b"))
+    alone = placed.where("comp IS NULL").select("doc_id", "key", F.lit(1).cast("long").alias("n")).distinct()
+    stay = best.select("b.doc_id", "b.key", "b.n").unionByName(alone)
+    stay = stay.select(F.col("doc_id").alias("nd_id"), F.col("key").alias("nd_key"), F.col("n").alias("nd_n"))
+    text_key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("nd_id")) & (F.col("nd_text") == F.col("nd_key"))
+    kept = docs.withColumn("nd_text", text_key).join(stay.hint("merge"), same)
+    once = kept.where("nd_n = 1").unionByName(kept.where("nd_n > 1").dropDuplicates(["nd_id", "nd_key"]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 @query("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "links")
