@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nightdesk.llm.registry import query, table
+from nightdesk.llm.rows import ROW, unwrapped, wrapped
 from nightdesk.llm.store import run_folder, written
 from nightdesk.llm.text import map_arrow, pieces, texts_of, word_table
 
@@ -169,9 +170,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: list[s
     """The columns ``keep`` of all documents (default: all) with what was found in each.
 
     ``nd_words`` counts the words, ``nd_spans`` lists the covered stretches of words (start, end),
-    ``nd_items`` the ids of the items found.
+    ``nd_items`` the ids of the items found; columns of these names are replaced.
     """
-    spark, keep = docs.sparkSession, docs.columns if keep is None else keep
+    spark = docs.sparkSession
+    keep = [c for c in docs.columns if c not in (WORDS, SPANS, ITEMS)] if keep is None else keep
     found = T.StructType([
         T.StructField(WORDS, T.LongType()),
         T.StructField(SPANS, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -179,7 +181,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: list[s
     ])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     blocks = test_blocks(benchmark, width, block_words)
-    block, state = next(blocks, None) or TestBlock([], width), docs.select(*keep, *([] if "text" in keep else ["text"]))
+    block, state = next(blocks, None) or TestBlock([], width), docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else ["text"]))
 
     def worker(block: TestBlock, passed: list[str], first: bool):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +271,8 @@ def contaminated():
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents that are not contaminated, with their columns as they were."""
-    return mark(docs, benchmark, width).where(~contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = mark(wrapped(docs), benchmark, width, keep=[ROW, "text"])
+    return unwrapped(marked.where(~contaminated()), docs.columns)
 
 
 @query(

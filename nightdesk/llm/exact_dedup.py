@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightdesk.llm.registry import query, table
+from nightdesk.llm.rows import unwrapped, wrapped
 from nightdesk.llm.store import run_folder, written
 
 BUCKETS = 64
@@ -106,16 +107,18 @@ def deduplicate(docs: DataFrame, index_path: str | None = None, batch: str = "fi
     folder = run_folder(spark, "exact")
     index = DigestIndex(spark, index_path or f"{folder}/index")
     index.append(keepers(written(digests(docs), f"{folder}/digests")), batch)
-    key, chars, row = "__nd_key", "__nd_chars", "__nd_ties"
     mine = index.entries().where(F.col("batch") == batch).select(
-        F.lower(F.hex("digest")).alias(key), F.col("keep_id").alias("__nd_keep"), F.col("keep_chars").alias(chars), F.col("ties").alias(row)
+        F.lower(F.hex("digest")).alias("digest"), "keep_id", "keep_chars", "ties"
     )
-    keyed = docs.withColumn(key, F.lower(F.hex(text_digest(F.col("text")))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__nd_keep")) & (F.length(F.coalesce("text", F.lit(""))) == F.col(chars))
-    stay = keyed.join(mine, key).where(same)
-    once = stay.where(F.col(row) == 1)
-    repeated = stay.where(F.col(row) > 1).dropDuplicates([key])
-    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = wrapped(
+        docs,
+        F.lower(F.hex(text_digest(F.col("text")))).alias("digest"),
+        F.length(F.coalesce("text", F.lit(""))).alias("chars"),
+        F.col("doc_id").cast("long").alias("id"),
+    )
+    stay = rows.join(mine.hint("merge"), "digest").where(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars")))
+    kept = stay.where("ties = 1").unionByName(stay.where("ties > 1").dropDuplicates(["digest"]))
+    return unwrapped(kept, docs.columns)
 
 
 @query(

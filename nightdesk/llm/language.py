@@ -146,8 +146,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
 
 
 def predict(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) with language, cosine and whether the text is too far off."""
-    keep = docs.columns if keep is None else keep
+    """The columns ``keep`` (default: all) with language, cosine and whether the text is too far off.
+
+    Columns of the names of the results are replaced.
+    """
+    keep = [c for c in docs.columns if c not in (LANGUAGE, SIMILARITY, REJECTED)] if keep is None else keep
     kinds = T.StructType([docs.schema[c] for c in keep] + [
         T.StructField(LANGUAGE, T.StringType()), T.StructField(SIMILARITY, T.DoubleType()), T.StructField(REJECTED, T.BooleanType())
     ])

@@ -110,10 +110,10 @@ def shingle_sets(texts: list[bytes], width: int, table: bytes) -> list[np.ndarra
         if b - a >= width:
             out.append(np.unique(rolled[a : b - width + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
-            for w in words[a:b]:
-                whole = whole * np.uint64(_MULT) + w
-            out.append(mix(np.array([whole], np.uint64)))
+            whole = np.full(1, b - a, np.uint64)
+            for at in range(a, b):
+                whole = whole * np.uint64(_MULT) + words[at : at + 1]
+            out.append(mix(whole))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

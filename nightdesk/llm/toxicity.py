@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nightdesk.llm.registry import query, table
+from nightdesk.llm.rows import ROW, unwrapped, wrapped
 from nightdesk.llm.text import hash_words, map_arrow, pieces, texts_of, word_table
 
 MOST_LABELLED = 20_000
@@ -224,9 +225,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """The columns ``keep`` (default: all) with the score and the significant passages.
 
     A passage is ``start, end`` (words) and ``chance``, the expected number of such passages in
-    clean text of this length; passages with a chance under 0.05 are listed.
+    clean text of this length; passages with a chance under 0.05 are listed.  Columns of
+    the names of the results are replaced.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if c not in (SCORE, PASSAGES)] if keep is None else keep
     passage = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("chance", T.DoubleType())])
     kinds = T.StructType([docs.schema[c] for c in keep] + [T.StructField(SCORE, T.DoubleType()), T.StructField(PASSAGES, T.ArrayType(passage))])
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("chance", pa.float64())]))
@@ -244,14 +246,14 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
                 out = [batch.column(c) for c in keep] + [pa.array(model.probability(np.array(evidence, float))), pa.array(passages, arrow)]
                 yield pa.RecordBatch.from_arrays(out, [*keep, SCORE, PASSAGES])
 
-    chosen = docs if "text" in keep else docs.select(*keep, "text")
+    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else ["text"]))
     return map_arrow(chosen, work, kinds)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents scored under one half, with their columns as they were."""
-    scored = score(docs, fit(docs, labels))
-    return scored.where(F.col(SCORE) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score(wrapped(docs), fit(docs, labels), keep=[ROW, "text"])
+    return unwrapped(scored.where(F.col(SCORE) < 0.5), docs.columns)
 
 
 @query("op4_toxicity")

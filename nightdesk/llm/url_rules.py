@@ -95,7 +95,11 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """All rows and columns of ``pages`` with ``nd_host``, ``nd_path``, ``nd_rule`` and ``nd_verdict``."""
+    """All rows and columns of ``pages`` with ``nd_host``, ``nd_path``, ``nd_rule`` and ``nd_verdict``.
+
+    Columns of these names are replaced.
+    """
+    pages = pages.drop("nd_host", "nd_path", "nd_rule", "nd_verdict", "nd_url")
     best = matched(pages.select(F.col("url").cast("string").alias("url")), rules)
     best = best.select(F.col("url").alias("nd_url"), F.col("rule").alias("nd_rule"), F.col("verdict").alias("nd_verdict"))
     joined = pages.join(best.hint("merge"), F.col("url") == F.col("nd_url"), "left").drop("nd_url")
