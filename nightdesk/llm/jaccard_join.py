@@ -3,12 +3,13 @@
 Shingles are ordered from rare to frequent by a counting sketch of fixed size over the whole
 corpus.  A document of s shingles that needs t of them in common with a partner shares at least
 k of its first s - t + k shingles with it, and so does the partner.  Each document picks its own
-k: a longer prefix costs more list entries but leaves fewer candidates, and the sketch tells
-which is cheaper.  Two documents are compared when they share at least the smaller of their two
-ks among their prefixes and their sizes allow the similarity; the comparison itself is exact.
+k from the lengths of its lists: a longer prefix costs more list entries but leaves fewer
+candidates.  Two documents are compared when they share at least the smaller of their two ks
+among their prefixes, their sizes allow the similarity, and what can follow their last shared
+prefix shingle still suffices; the comparison itself is exact.
 
 Groups of thousands of near copies would make millions of pairs.  So the first round compares
-every prefix list only with its most central member, links are contracted to components, and the
+every long list only with its most central member, links are contracted to components, and the
 second round compares the pairs that are still in different components.  No link is lost: a
 skipped pair already lies in one component.  Equal shingle sets are one node from the start.
 
@@ -19,7 +20,7 @@ rows of one node.  The component id is the smallest ``doc_id`` of the component,
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightdesk.llm.registry import query, table
+from nightdesk.llm.rows import unwrapped, wrapped
 from nightdesk.llm.store import run_folder, written
 from nightdesk.llm.text import map_arrow, mix, pieces, shingle_sets, space_table, texts_of
 
 WIDTH, PERCENT = 4, 85
-SKETCH_BITS = 18
+SKETCH_BITS, CHUNK = 20, 4096
+BLOOM_BITS = 24
 MOST_MATCHES = 8
+LONG_LIST = 30
 #: A shingle compared in verification costs about this share of a prefix-list entry.
 COMPARE_COST = 1 / 16
 
@@ -55,20 +59,38 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        table, names = space_table(), ["doc_id", "key", "n", "s1", "s2", "bucket", "count"]
+        table, names = space_table(), ["doc_id", "key", "n", "s1", "s2", "chunk", "counts"]
         for whole in batches:
             for batch in pieces(whole, "text"):
                 sets = shingle_sets(texts_of(batch.column("text")), width, table)
-                counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts))
+                np.add.at(counts, _bucket(np.concatenate(sets)), 1)
                 marks = [_signature(s) for s in sets]
-                none = pa.nulls(len(sets), pa.int64())
                 columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns, none, none], names)
-        full = np.flatnonzero(counts)
-        none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(full), pa.binary()), none, none, none, pa.array(full, pa.int64()), pa.array(counts[full], pa.int64())], names)
+                none = [pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns, *none], names)
+        if counts.any():
+            blocks = counts.reshape(-1, CHUNK)
+            none = pa.nulls(len(blocks), pa.int64())
+            packed = pa.array([zlib.compress(x.astype("<i8").tobytes(), 1) for x in blocks], pa.binary())
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(blocks), pa.binary()), none, none, none, pa.array(range(len(blocks)), pa.int64()), packed], names)
 
-    return map_arrow(_keyed(docs), work, "doc_id long, key binary, n long, s1 long, s2 long, bucket long, count long")
+    return map_arrow(_keyed(docs), work, "doc_id long, key binary, n long, s1 long, s2 long, chunk long, counts binary")
+
+
+def summed_sketch(rows: DataFrame) -> np.ndarray:
+    """The counts of all tasks, summed by chunk in two steps so that no group follows their number."""
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in part["counts"])
+        return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    chunks = rows.where("chunk IS NOT NULL").select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("lane"))
+    part = chunks.groupBy("chunk", "lane").applyInPandas(add, "chunk long, counts binary")
+    found = part.groupBy("chunk").applyInPandas(add, "chunk long, counts binary").collect()  # 256 rows at most
+    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    for row in found:
+        sketch[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
+    return sketch
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -77,26 +99,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
 
 
-def matches_and_prefix(size: int, frequency: np.ndarray, percent: int) -> tuple[int, int]:
-    """The number of shared prefix shingles to ask for, and the prefix length that goes with it.
-
-    ``frequency``: estimated list lengths in the global order.  Every candidate lies in at least
-    k of the lists, so there are at most (their sum) / k; each costs a comparison of the sets.
-    """
-    least = -(-percent * size // 100)
-    most = min(MOST_MATCHES, least)
-    lists = np.cumsum(frequency[: size - least + most])
-    k = np.arange(1, most + 1)
-    entries = lists[size - least + k - 1]
-    cost = entries + entries / k * size * COMPARE_COST
-    best = int(np.argmin(cost)) + 1
-    return best, size - least + best
-
-
 def prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """Per document with shingles: size, signature, wanted matches and the prefix, rare shingles first."""
-    load = sketch.mean()
-    noise = load + 3 * math.sqrt(load)
+    """Per document with shingles: size, signature and the longest prefix it may ask for, rare shingles first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = space_table()
@@ -104,45 +108,97 @@ def prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> D
             for batch in pieces(whole, "text"):
                 rows = []
                 for place, tokens in enumerate(shingle_sets(texts_of(batch.column("text")), width, table)):
-                    if not len(tokens):
-                        continue
-                    seen = sketch[_bucket(tokens)]
-                    order = np.lexsort((tokens, seen))
-                    k, length = matches_and_prefix(len(tokens), np.maximum(seen[order] - noise, 1.0), percent)
-                    rows.append((place, len(tokens), *_signature(tokens), k, tokens[order[:length]].view(np.int64)))
+                    if len(tokens):
+                        length = len(tokens) + min(0, MOST_MATCHES - _least(len(tokens), percent))
+                        order = np.lexsort((tokens, sketch[_bucket(tokens)]))[:length]
+                        rows.append((place, len(tokens), *_signature(tokens), tokens[order].view(np.int64)))
                 chosen = batch.take(pa.array([r[0] for r in rows], pa.int64()))
-                numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3, 4)]
-                lists = pa.array([r[5] for r in rows], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [chosen.column("doc_id"), chosen.column("key"), *numbers, lists], ["doc_id", "key", "n", "s1", "s2", "matches", "tokens"]
-                )
+                numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]
+                lists = pa.array([r[4] for r in rows], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([chosen.column("doc_id"), chosen.column("key"), *numbers, lists], ["doc_id", "key", "n", "s1", "s2", "tokens"])
 
-    found = map_arrow(_keyed(docs), work, "doc_id long, key binary, n long, s1 long, s2 long, matches long, tokens array<long>")
+    found = map_arrow(_keyed(docs), work, "doc_id long, key binary, n long, s1 long, s2 long, tokens array<long>")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("rep")
-    same = found.groupBy("s1", "s2").agg(first, *[F.first(c).alias(c) for c in ("n", "matches", "tokens")])
+    same = found.groupBy("s1", "s2").agg(first, *[F.first(c).alias(c) for c in ("n", "tokens")])
     return same.select(
         F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.key").alias("key"),
-        "n", "matches", "tokens",
+        "n", "tokens",
     )
 
 
+def _least(size: int, percent: int) -> int:
+    """The shingles a set of this size must share with any partner."""
+    return -(-percent * size // 100)
+
+
+def with_matches(lists: DataFrame, percent: int) -> DataFrame:
+    """Cuts each document's lists to the prefix it asks for and adds ``matches``, its k.
+
+    Every candidate lies in at least k of the prefix's lists, so there are at most (their summed
+    length) / k candidates; each costs a comparison of sets on top of reading the lists.
+    """
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    entries = [F.sum(F.when(F.col("pos") < F.col("n") - least + k, F.col("df")).otherwise(0)).alias(f"e{k}") for k in range(1, MOST_MATCHES + 1)]
+    summed = lists.groupBy("node", "n").agg(*entries)
+    cost = [F.col(f"e{k}") * (1 + F.col("n") * COMPARE_COST / k) for k in range(1, MOST_MATCHES + 1)]
+    options = [F.when(least >= k, F.struct(c.alias("cost"), F.lit(k).alias("k"))) for k, c in enumerate(cost, 1)]
+    picked = summed.select(F.col("node").alias("of"), F.array_min(F.array(*options))["k"].alias("matches"))
+    return lists.join(picked, F.col("node") == F.col("of")).drop("of").where(F.col("pos") < F.col("n") - least + F.col("matches"))
+
+
+def candidates(met: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of the pairs that may reach the similarity, from their shared prefix entries.
+
+    All common shingles up to the last shared one lie in both prefixes, so the overlap is at most
+    the hits and what follows that one in the shorter rest.
+    """
+    pairs = met.groupBy("a", "b").agg(
+        F.count("*").alias("hits"), F.max("ap").alias("ap"), F.max("bp").alias("bp"),
+        *[F.min(c).alias(c) for c in ("an", "bn", "am", "bm")],
+    )
+    rest = F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1
+    enough = (100 + percent) * (F.col("hits") + rest) >= percent * (F.col("an") + F.col("bn"))
+    return pairs.where((F.col("hits") >= F.least("am", "bm")) & enough).select("a", "b")
+
+
 def _size_fits(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
+def _bits(keys: list[bytes]) -> np.ndarray:
+    """The two bits of each text key in the filter."""
+    words = np.frombuffer(b"".join(keys), "<u4").reshape(-1, 4)
+    return (words[:, :2] >> np.uint32(32 - BLOOM_BITS)).astype(np.int64)
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``node, tokens`` (sorted 64-bit hashes as bytes) for the given nodes, from their first document."""
+    """``node, tokens`` (sorted 64-bit hashes as bytes) for the given nodes, from their first document.
+
+    A bit filter of fixed size over the wanted texts keeps most others out before the shuffle; the
+    join that follows is exact, so the filter's size never changes the result.
+    """
+    spread = F.explode(F.array(*[F.substring(F.hex("key"), a, 8) for a in (1, 9)])).alias("part")
+    bit = F.concat(*[F.substring("part", a, 2) for a in (7, 5, 3, 1)])  # little-endian, as the workers read it
+    bit = F.shiftright(F.conv(bit, 16, 10).cast("long"), 32 - BLOOM_BITS)
+    words = nodes.select(spread).select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toPandas()  # 2**18 rows at most
+    held = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    held[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
+    held = np.unpackbits(held.view(np.uint8), bitorder="little").astype(bool)
+    packed = np.packbits(held)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = space_table()
+        table, wanted = space_table(), np.unpackbits(packed).astype(bool)
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            hit = wanted[_bits(whole.column("key").to_pylist())].all(axis=1) if whole.num_rows else []
+            for batch in pieces(whole.filter(pa.array(hit, pa.bool_())), "text"):
                 sets = shingle_sets(texts_of(batch.column("text")), width, table)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "key", "tokens"])
 
-    wanted = nodes.select("node", F.col("doc_id").alias("of"), F.col("key").alias("of_key"))
-    texts = _keyed(docs).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")))
-    return map_arrow(texts.select("node", "text"), work, "node long, tokens binary").dropDuplicates(["node"])
+    found = map_arrow(_keyed(docs), work, "doc_id long, key binary, tokens binary")
+    exact = nodes.select("node", F.col("doc_id").alias("of"), F.col("key").alias("of_key"))
+    joined = found.join(exact.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")))
+    return joined.select("node", "tokens").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,6 +218,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b")
 
 
+def _compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
+    """The linked ones of the candidate pairs."""
+    pairs = written(pairs, f"{folder}-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(nodes.select("node", "doc_id", "key").join(wanted, "node", "left_semi"), f"{folder}-nodes")
+    return verified(pairs, written(full_sets(docs, wanted, width), f"{folder}-sets"), percent)
+
+
 def components(links: DataFrame, folder: str) -> DataFrame:
     """``node, comp`` for every node with a link: each component takes its smallest node.
 
@@ -194,36 +258,32 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     spark = docs.sparkSession
     folder = run_folder(spark, "jaccard")
     rows = written(signatures(docs, width), f"{folder}/rows")
-    counted = rows.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count")).toPandas()  # 2**18 rows at most
-    sketch = np.zeros(1 << SKETCH_BITS, np.float64)
-    sketch[counted["bucket"].to_numpy(int)] = counted["count"].to_numpy(float)
-
-    nodes = written(prefixes(docs, width, percent, sketch), f"{folder}/nodes")
-    entries = nodes.select("node", "n", "matches", F.explode("tokens").alias("token"))
+    nodes = written(prefixes(docs, width, percent, summed_sketch(rows)), f"{folder}/nodes")
+    entries = nodes.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = written(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), f"{folder}/shared")
-    lists = written(entries.join(shared.hint("merge"), "token"), f"{folder}/lists")
-    needed = nodes.join(lists.select("node").distinct(), "node", "left_semi")
-    sets = written(full_sets(docs, needed, width), f"{folder}/sets")
-
-    central = lists.groupBy("node").agg(F.sum("df").alias("weight"))
-    ranked = written(lists.join(central, "node"), f"{folder}/ranked")
-    pivot = ranked.groupBy("token").agg(F.max(F.struct("weight", "node", "n")).alias("p"))
-    pivot = pivot.select(F.col("token").alias("t"), F.col("p.node").alias("a"), F.col("p.n").alias("pn"))
-    pivot = written(pivot, f"{folder}/pivots")
-    star = lists.join(pivot.hint("merge"), F.col("token") == F.col("t")).where((F.col("a") != F.col("node")) & _size_fits("n", "pn", percent))
-    star = star.select("a", F.col("node").alias("b")).distinct()
-    first = written(verified(star, sets, percent), f"{folder}/first")
+    lists = written(entries.join(shared.hint("merge"), "token"), f"{folder}/shared-lists")
+    lists = written(with_matches(lists, percent), f"{folder}/lists")
+
+    long = lists.where(F.col("df") >= LONG_LIST)
+    weight = long.groupBy("node").agg(F.sum("df").alias("weight"))
+    head = F.max(F.struct("weight", "node", "n", "matches", "pos")).alias("p")
+    pivot = long.join(weight, "node").groupBy("token").agg(head)
+    pivot = pivot.select(F.col("token").alias("t"), *[F.col(f"p.{c}").alias(d) for c, d in (("node", "a"), ("n", "an"), ("matches", "am"), ("pos", "ap"))])
+    met = long.join(written(pivot, f"{folder}/pivots").hint("merge"), F.col("token") == F.col("t")).where("node != a")
+    met = met.select("a", "an", "am", "ap", *[F.col(c).alias(d) for c, d in (("node", "b"), ("n", "bn"), ("matches", "bm"), ("pos", "bp"))])
+    first = written(_compared(docs, nodes, candidates(met, percent), width, percent, f"{folder}/star"), f"{folder}/first")
     labels = components(first, f"{folder}/one")
 
-    placed = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = written(placed, f"{folder}/placed")
+    placed = written(lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"{folder}/placed")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select(F.col("token").alias("t"))
-    open_lists = written(placed.join(written(mixed, f"{folder}/mixed").hint("merge"), F.col("token") == F.col("t"), "left_semi"), f"{folder}/open")
-    one = open_lists.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("comp").alias("ac"))
-    two = open_lists.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("matches").alias("bm"), F.col("comp").alias("bc"))
+    open_lists = placed.join(written(mixed, f"{folder}/mixed").hint("merge"), F.col("token") == F.col("t"), "left_semi")
+    open_lists = written(open_lists, f"{folder}/open")
+    one, two = (
+        open_lists.select("token", *[F.col(c).alias(x + d) for c, d in (("node", ""), ("n", "n"), ("matches", "m"), ("pos", "p"), ("comp", "c"))])
+        for x in "ab"
+    )
     met = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _size_fits("an", "bn", percent))
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("hits"), F.first(F.least("am", "bm")).alias("wanted")).where("hits >= wanted")
-    second = written(verified(pairs.select("a", "b"), sets, percent), f"{folder}/second")
+    second = written(_compared(docs, nodes, candidates(met, percent), width, percent, f"{folder}/rest"), f"{folder}/second")
     links = written(first.union(second), f"{folder}/links")
     labels = components(links, f"{folder}/two")
 
@@ -232,7 +292,7 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     named = written(named.withColumn("comp", F.coalesce("comp", "node")), f"{folder}/named")
     smallest = written(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), f"{folder}/smallest")
     named = written(named.join(smallest.hint("merge"), "comp").drop("doc_id"), f"{folder}/components")
-    plain = rows.where("bucket IS NULL").withColumnRenamed("n", "n_shingles")
+    plain = rows.where("chunk IS NULL").withColumnRenamed("n", "n_shingles")
     found = plain.where("n_shingles > 0").join(named.hint("merge"), ["s1", "s2"])
     found = found.select("doc_id", "n_shingles", "component_id", F.coalesce("links", F.lit(0)).alias("links"), "comp", "key")
     alone = plain.where("n_shingles = 0").select(
@@ -251,10 +311,10 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     stay = best.select("b.doc_id", "b.key", "b.n").unionByName(alone)
     stay = stay.select(F.col("doc_id").alias("nd_id"), F.col("key").alias("nd_key"), F.col("n").alias("nd_n"))
     text_key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("nd_id")) & (F.col("nd_text") == F.col("nd_key"))
-    kept = docs.withColumn("nd_text", text_key).join(stay.hint("merge"), same)
+    rows = wrapped(docs, F.col("doc_id").cast("long").alias("id"), text_key.alias("key"))
+    kept = rows.join(stay.hint("merge"), F.col("id").eqNullSafe(F.col("nd_id")) & (F.col("key") == F.col("nd_key")))
     once = kept.where("nd_n = 1").unionByName(kept.where("nd_n > 1").dropDuplicates(["nd_id", "nd_key"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unwrapped(once, docs.columns)
 
 
 @query("op9_jaccard_join")
