@@ -5,8 +5,8 @@ corpus.  A document of s shingles that needs t of them in common with a partner
 k of its first s - t + k shingles with it, and so does the partner.  Each document picks its own
 k from the lengths of its lists: a longer prefix costs more list entries but leaves fewer
 candidates.  Two documents are compared when they share at least the smaller of their two ks
-among their prefixes, their sizes allow the similarity, and what can follow their last shared
-prefix shingle still suffices; the comparison itself is exact.
+among their prefixes and what can follow the last of these still suffices; the comparison
+itself is exact.
 
 Groups of thousands of near copies would make millions of pairs.  So the first round compares
 every long list only with its most central member, links are contracted to components, and the
@@ -132,7 +132,7 @@ def _least(size: int, percent: int) -> int:
 
 
 def with_matches(lists: DataFrame, percent: int) -> DataFrame:
-    """Cuts each document's lists to the prefix it asks for and adds ``matches``, its k.
+    """Adds ``matches``, the k that each document asks for.
 
     Every candidate lies in at least k of the prefix's lists, so there are at most (their summed
     length) / k candidates; each costs a comparison of sets on top of reading the lists.
@@ -143,26 +143,33 @@ def with_matches(lists: DataFrame, percent: int) -> DataFrame:
     cost = [F.col(f"e{k}") * (1 + F.col("n") * COMPARE_COST / k) for k in range(1, MOST_MATCHES + 1)]
     options = [F.when(least >= k, F.struct(c.alias("cost"), F.lit(k).alias("k"))) for k, c in enumerate(cost, 1)]
     picked = summed.select(F.col("node").alias("of"), F.array_min(F.array(*options))["k"].alias("matches"))
-    return lists.join(picked, F.col("node") == F.col("of")).drop("of").where(F.col("pos") < F.col("n") - least + F.col("matches"))
+    return lists.join(picked, F.col("node") == F.col("of")).drop("of")
 
 
-def candidates(met: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of the pairs that may reach the similarity, from their shared prefix entries.
+def meeting(met: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of the pairs whose first shared entry leaves room for the similarity.
 
-    All common shingles up to the last shared one lie in both prefixes, so the overlap is at most
-    the hits and what follows that one in the shorter rest.
+    A pair of sizes m and n needs an overlap of o; so the first shingle both hold is among the
+    first m - o + 1 of the one and n - o + 1 of the other.  Other entries bring no pairs.
     """
-    pairs = met.groupBy("a", "b").agg(
-        F.count("*").alias("hits"), F.max("ap").alias("ap"), F.max("bp").alias("bp"),
-        *[F.min(c).alias(c) for c in ("an", "bn", "am", "bm")],
-    )
-    rest = F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1
-    enough = (100 + percent) * (F.col("hits") + rest) >= percent * (F.col("an") + F.col("bn"))
-    return pairs.where((F.col("hits") >= F.least("am", "bm")) & enough).select("a", "b")
+    overlap = F.ceil(F.lit(percent) * (F.col("an") + F.col("bn")) / (100 + percent))
+    room = (F.col("ap") <= F.col("an") - overlap) & (F.col("bp") <= F.col("bn") - overlap)
+    return met.where(room).select("a", "b").distinct()
 
 
-def _size_fits(a: str, b: str, percent: int):
-    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+def candidates(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share enough of their prefixes.
+
+    All common shingles up to the last shared one lie in both prefixes, so the overlap is at most
+    the hits and what follows that one in the shorter rest.
+    """
+    sides = [prefix.select(F.col("node").alias(x), *[F.col(c).alias(x + c) for c in ("n", "matches", "tokens")]) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("common", F.array_intersect("atokens", "btokens"))
+    both = both.where(F.size("common") >= F.least("amatches", "bmatches"))
+    last = F.element_at("common", -1)
+    rest = F.least(*[F.col(f"{x}n") - F.array_position(f"{x}tokens", last) for x in "ab"])
+    enough = (100 + percent) * (F.size("common") + rest) >= percent * (F.col("an") + F.col("bn"))
+    return both.where(enough).select("a", "b")
 
 
 def _bits(keys: list[bytes]) -> np.ndarray:
@@ -264,14 +271,20 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     lists = written(entries.join(shared.hint("merge"), "token"), f"{folder}/shared-lists")
     lists = written(with_matches(lists, percent), f"{folder}/lists")
 
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    asked = lists.select("node", "matches").distinct()
+    prefix = nodes.join(asked, "node").withColumn("tokens", F.slice("tokens", F.lit(1), (F.col("n") - least + F.col("matches")).cast("int")))
+    prefix = written(prefix.select("node", "n", "matches", "tokens"), f"{folder}/prefix")
+    lists = written(lists.where(F.col("pos") <= F.col("n") - least), f"{folder}/first-entries")
+
     long = lists.where(F.col("df") >= LONG_LIST)
     weight = long.groupBy("node").agg(F.sum("df").alias("weight"))
-    head = F.max(F.struct("weight", "node", "n", "matches", "pos")).alias("p")
-    pivot = long.join(weight, "node").groupBy("token").agg(head)
-    pivot = pivot.select(F.col("token").alias("t"), *[F.col(f"p.{c}").alias(d) for c, d in (("node", "a"), ("n", "an"), ("matches", "am"), ("pos", "ap"))])
+    pivot = long.join(weight, "node").groupBy("token").agg(F.max(F.struct("weight", "node", "n", "pos")).alias("p"))
+    pivot = pivot.select(F.col("token").alias("t"), F.col("p.node").alias("a"), F.col("p.n").alias("an"), F.col("p.pos").alias("ap"))
     met = long.join(written(pivot, f"{folder}/pivots").hint("merge"), F.col("token") == F.col("t")).where("node != a")
-    met = met.select("a", "an", "am", "ap", *[F.col(c).alias(d) for c, d in (("node", "b"), ("n", "bn"), ("matches", "bm"), ("pos", "bp"))])
-    first = written(_compared(docs, nodes, candidates(met, percent), width, percent, f"{folder}/star"), f"{folder}/first")
+    met = met.select("a", "an", "ap", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
+    pairs = candidates(meeting(met, percent), prefix, percent)
+    first = written(_compared(docs, nodes, pairs, width, percent, f"{folder}/star"), f"{folder}/first")
     labels = components(first, f"{folder}/one")
 
     placed = written(lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"{folder}/placed")
@@ -279,11 +292,11 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     open_lists = placed.join(written(mixed, f"{folder}/mixed").hint("merge"), F.col("token") == F.col("t"), "left_semi")
     open_lists = written(open_lists, f"{folder}/open")
     one, two = (
-        open_lists.select("token", *[F.col(c).alias(x + d) for c, d in (("node", ""), ("n", "n"), ("matches", "m"), ("pos", "p"), ("comp", "c"))])
-        for x in "ab"
+        open_lists.select("token", *[F.col(c).alias(x + d) for c, d in (("node", ""), ("n", "n"), ("pos", "p"), ("comp", "c"))]) for x in "ab"
     )
-    met = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _size_fits("an", "bn", percent))
-    second = written(_compared(docs, nodes, candidates(met, percent), width, percent, f"{folder}/rest"), f"{folder}/second")
+    met = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")))
+    pairs = candidates(meeting(met, percent), prefix, percent)
+    second = written(_compared(docs, nodes, pairs, width, percent, f"{folder}/rest"), f"{folder}/second")
     links = written(first.union(second), f"{folder}/links")
     labels = components(links, f"{folder}/two")
 
