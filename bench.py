@@ -19,7 +19,7 @@ HEADLINE = [
     "q01_lockouts", "q02_lockout_frequency", "q03_brute_force", "q04_password_spray", "q05_gpo_changes",
     "q07_unexpected_actors", "q10_high_privilege_group_adds", "q11_security_timeline", "q13_failed_logons_by_ip",
     "q17_kpi_board", "q25_unlocks_timeline", "x01_access_fields", "w05_requests_by_class", "w06_top_uris",
-    "al02_alert_brute_force", "al05_alert_after_hours_admin", "st06_suppression", "st09_lockout_replay",
+    "al02_alert_brute_force", "al05_alert_after_hours_admin", "st06_suppression",
     "tk03_build_tickets", "tk05_build_entries", "tk06_ticket_report", "dr02_user_summary", "dr04_list_groups",
     "dr07_plan_group_changes", "dr10_lockout_sources", "dr13_action_counts",
 ]

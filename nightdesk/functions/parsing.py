@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nightdesk import vocab
 from nightdesk.functions.scalars import status_class, to_number
+from nightdesk.functions.timerange import TimeRange, in_range
 
 _MARK = "\u0001"
 _BRACKET_TIME = r"^[^\[]*\[(\d{1,2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})"
@@ -52,15 +53,20 @@ def access_time(line: Column) -> Column:
     return F.try_to_timestamp(F.regexp_extract(line, _BRACKET_TIME, 1), F.lit(vocab.ACCESS_TIME))
 
 
-def parse_access(lines: DataFrame, column: str = "value") -> DataFrame:
+def access_times(lines: DataFrame, time: TimeRange | None = None, column: str = "value") -> DataFrame:
+    """Access lines of a range as ``_raw`` with their ``_time``; no field is parsed."""
+    return in_range(lines.withColumnRenamed(column, "_raw").withColumn("_time", access_time(F.col("_raw"))), time)
+
+
+def parse_access(lines: DataFrame, column: str = "value", time: TimeRange | None = None) -> DataFrame:
     """Combined-format access lines to nine text fields, ``_time`` and ``status_class``.
 
     Lines the pattern does not match keep null fields; the time is read from
-    the first bracketed stamp of any line.
+    the first bracketed stamp of any line, and only lines of the range are parsed.
     """
-    return capture(lines, column, vocab.ACCESS_LINE, vocab.ACCESS_FIELDS).withColumns(
+    kept = access_times(lines, time, column).withColumnRenamed("_raw", column)
+    return capture(kept, column, vocab.ACCESS_LINE, vocab.ACCESS_FIELDS).withColumns(
         {
-            "_time": access_time(F.col("_raw")),
             "bytes_sent": to_number("bytes", "bigint"),
             "status_class": status_class("status"),
         }

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegralType, LongType, StringType
 
 from nightdesk import vocab
 
@@ -139,8 +140,8 @@ def ticket_source(c: Column | str = "source") -> Column:
 
 
 def latest_of(expr: Column | str, time: str = "_time") -> Column:
-    """Aggregate: value of ``expr`` on the newest row."""
-    return F.max_by(_col(expr), F.col(time))
+    """Aggregate: value of ``expr`` on the newest row, the largest where several share its time."""
+    return F.max_by(_col(expr), F.struct(F.col(time), _col(expr)))
 
 
 def with_display_names(df: DataFrame, table: str) -> DataFrame:
@@ -168,10 +169,15 @@ def left_lookup(df: DataFrame, on: str, lookup: DataFrame, key: str) -> DataFram
     threshold.  Beyond it both sides shuffle, and a hot key must be split over
     tasks: adaptive execution does that only when each side has a shuffle of
     its own for the join.  A lookup that was just aggregated by its key has
-    none, so the key is written as a new expression here, which adds one.
+    none, so the key is written as a new expression here, which adds one.  Keys
+    keep their type; whole numbers of two widths meet
+    as the wider one, other numbers as doubles.
     """
-    text = lookup.schema[key].dataType.typeName() == "string"
-    fresh = F.concat(F.col(key), F.lit("")) if text else F.col(key).cast("string")
-    right = lookup.select(fresh.alias("_lookup"), *[c for c in lookup.columns if c != key])
-    left = F.col(on) if text else F.col(on).cast("string")
-    return df.join(right, left == F.col("_lookup"), "left").drop("_lookup")
+    mine, other = df.select(on).schema[0].dataType, lookup.schema[key].dataType
+    kind = other if mine == other else StringType() if StringType() in (mine, other) else DoubleType()
+    if isinstance(mine, IntegralType) and isinstance(other, IntegralType):
+        kind = LongType()
+    wrap = (lambda c: F.concat(c, F.lit(""))) if kind == StringType() else F.struct
+    held = lookup.filter(F.col(key).isNotNull())
+    right = held.select(wrap(F.col(key).cast(kind)).alias("_lookup"), *[c for c in lookup.columns if c != key])
+    return df.join(right, wrap(F.col(on).cast(kind)) == F.col("_lookup"), "left").drop("_lookup")

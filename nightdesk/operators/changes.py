@@ -13,6 +13,9 @@ from nightdesk.functions.timerange import TimeRange
 from nightdesk.operators.base import newest_first, security
 
 
+PANEL_ROWS = 15
+
+
 def _actor():
     return nth("Subject_Account_Name", 0)
 
@@ -77,9 +80,9 @@ def policy_changes(
     k: int | None = None,
     compat_text_sort: bool = False,
 ) -> DataFrame:
-    """Recent policy changes; ``labels`` picks the wording and the columns.
+    """The ``k`` most recent policy changes (default: all); ``labels`` picks wording and columns.
 
-    ``panel`` adds the changed object or policy and keeps the newest 15.
+    ``panel`` adds the changed object or policy; the panel itself shows ``PANEL_ROWS`` of them.
     """
     time = time or TimeRange.last(now, hours=24)
     panel = labels == "panel"
@@ -93,7 +96,6 @@ def policy_changes(
     )
     first = "ev_time" if compat_text_sort else "_time"
     rows = rows.orderBy(F.desc(first), "change_type", "actor", "obj", "host")
-    k = 15 if k is None and panel else k
     rows = rows if k is None else rows.limit(k)
     columns = ["ev_time", "change_type", "actor", *(["obj"] if panel else []), "host"]
     return rows.select(*columns)

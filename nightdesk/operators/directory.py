@@ -140,12 +140,12 @@ def plan_group_changes(
 ) -> DataFrame:
     """Decision per request (request_id, sam, group, action Add/Remove).
 
-    Names compare without case.  A missing group fails with suggestions, adding
+    Names compare without case and come back as the directory spells them.  A missing group fails with suggestions, adding
     a member or removing a non-member is skipped, anything else succeeds;
     removals from privileged groups carry a warning flag.
     """
     catalogue = groups.groupBy(F.lower("name").alias("_g")).agg(F.min("name").alias("group_name"))
-    accounts = users.groupBy(F.lower("sam").alias("_s")).agg(F.min("name").alias("user_name"))
+    accounts = users.groupBy(F.lower("sam").alias("_s")).agg(F.min("sam").alias("user_name"))
     member = pairs.select(
         F.lower("sam").alias("_s"), F.lower("group").alias("_g"), F.lit(True).alias("is_member")
     ).distinct()
@@ -171,7 +171,7 @@ def plan_group_changes(
         .withColumn("result", result)
         .select(
             "request_id",
-            "sam",
+            F.coalesce("user_name", "sam").alias("sam"),
             F.coalesce("group_name", "group").alias("group"),
             "action",
             "result",
@@ -182,18 +182,19 @@ def plan_group_changes(
 
 
 def apply_group_changes(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Membership set after the successful decisions."""
+    """Membership set after the successful decisions; names compare without case."""
     done = decisions.filter(F.col("result") == "SUCCESS").select("sam", "group", "action")
     added = done.filter(F.col("action") == "Add").select("sam", "group")
-    removed = done.filter(F.col("action") == "Remove").select("sam", "group")
-    return (
-        pairs.select("sam", "group").unionByName(added).distinct().join(removed, ["sam", "group"], "left_anti")
-    )
+    removed = done.filter(F.col("action") == "Remove").select(F.lower("sam").alias("_s"), F.lower("group").alias("_g"))
+    held = pairs.select("sam", "group").unionByName(added).distinct()
+    gone = (F.lower(held.sam) == F.col("_s")) & (F.lower(held.group) == F.col("_g"))
+    return held.join(removed.distinct(), gone, "left_anti")
 
 
 def is_member(pairs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests whose (sam, group) pair is a membership already."""
-    return requests.join(pairs.select("sam", "group").distinct(), ["sam", "group"], "left_semi")
+    """Requests whose (sam, group) pair is a membership already, without case."""
+    held = pairs.select(F.lower("sam").alias("_s"), F.lower("group").alias("_g")).distinct()
+    return requests.join(held, (F.lower("sam") == F.col("_s")) & (F.lower("group") == F.col("_g")), "left_semi")
 
 
 def removable_groups(pairs: DataFrame) -> DataFrame:
@@ -228,6 +229,9 @@ def offboarding_report(
         "reason",
         "agent",
         "ticket",
+        "title",
+        "mail",
+        "manager",
         F.when(refused, F.lit("REFUSED")).otherwise(F.lit("DONE")).alias("decision"),
         F.when(~refused, F.col("groups_removed")).alias("groups_removed"),
         F.when(~refused, F.size("groups_removed")).alias("n_groups"),
@@ -245,13 +249,21 @@ def offboarding_report(
     )
     none = F.when(F.size("groups_removed") == 0, F.lit("  (none)"))
     listed = F.array_join(F.transform("groups_removed", lambda g: F.concat(F.lit("  - "), g)), "\n")
-    text = F.concat(
-        F.lit(f"OFFBOARDING REPORT {day}\nEmployee: "), "employee", F.lit(" ("), "username",
-        F.lit(")\nDepartment: "), "department", F.lit("\nReason: "), "reason",
-        F.lit("\nOffboarded by: "), "agent", F.lit("\nTicket: "), F.coalesce("ticket", F.lit("")),
-        F.lit("\nMoved to: "), "moved_to", F.lit("\nGroups removed: "),
-        F.col("n_groups").cast("string"), F.lit(" ("), list_text("groups_removed"), F.lit(")\n"),
-        F.coalesce(none, listed),
-        F.lit("\nDelete after: "), F.col("delete_after").cast("string"),
+    line = F.lit("═" * 55)
+    facts_text = [F.concat(F.lit(f"{name.ljust(14)}: "), F.coalesce(F.col(c), F.lit(""))) for name, c in vocab.REPORT_FIELDS.items()]
+    steps = [
+        F.lit("  [OK] Account disabled"), F.concat(F.lit("  [OK] Description: "), "description"),
+        F.concat(F.lit("  [OK] Display name: "), "display_name"), F.concat(F.lit("  [OK] Moved to: "), "moved_to"),
+        F.concat(F.lit("  [OK] Groups removed: "), F.col("n_groups").cast("string")),
+    ]
+    follow_up = [F.lit(f"  [ ] {x}") for x in vocab.FOLLOW_UP]
+    text = F.concat_ws(
+        "\n", line, F.lit("EMPLOYEE OFFBOARDING AUDIT REPORT"), line, F.concat(F.lit("Date          : "), F.col("report_date").cast("string")),
+        *facts_text, F.lit("\nACTIONS PERFORMED:"), *steps,
+        F.concat(F.lit("\nGROUPS REMOVED ("), F.col("n_groups").cast("string"), F.lit("):")), F.coalesce(none, listed),
+        F.lit("\nGROUPS FAILED TO REMOVE (0):"), F.lit("  (none)"), F.lit("\nFOLLOW-UP ITEMS (manual — not automated):"),
+        F.concat(F.lit("  [ ] Inform manager ("), F.coalesce("manager", F.lit("")), F.lit(") that account is disabled")), *follow_up,
+        F.concat(F.lit("  [ ] 90-day retention: account will be deleted after: "), F.col("delete_after").cast("string")), line,
     )
-    return facts.withColumn("report", text)
+    text = F.when(F.col("decision") == "DONE", text)
+    return facts.withColumn("report", text).drop("title", "mail", "manager")

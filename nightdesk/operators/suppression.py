@@ -1,19 +1,15 @@
-"""Alert suppression and lockout-policy replay over event history."""
+"""Alert suppression over event history."""
 
 from __future__ import annotations
 
 import json
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightdesk import vocab
 from nightdesk.functions.chunked import CHUNK_ROWS, HOT_ROWS, Fold, fold_by_key, micros
-from nightdesk.functions.scalars import first_per_key, nth
-from nightdesk.functions.timerange import TimeRange
-from nightdesk.operators.base import security
+from nightdesk.functions.scalars import first_per_key
 
 HOUR = 3600 * 1_000_000
 FREE = None
@@ -113,167 +109,3 @@ def suppress(
     fired = fold_by_key(times, key, fold, slot_micros, hot_rows, chunk_rows)
     fired = fired.select(key, F.timestamp_micros("t").alias(time))
     return instants.join(fired, [key, time], "left_semi").select(*alerts.columns)
-
-
-# --- lockout policy ----------------------------------------------------------------
-
-
-class _Attempts:
-    """Sorted failure times of one chunk with the policy's jump tables."""
-
-    def __init__(self, times: np.ndarray, bad: int, reset: int, duration: int):
-        n = len(times)
-        self.t, self.bad, self.reset, self.duration = times, bad, reset, duration
-        idx = np.arange(n)
-        breaks = np.flatnonzero(np.diff(times) >= reset) + 1
-        starts = np.concatenate(([0], breaks)).astype(int)
-        run = np.searchsorted(starts, idx, "right") - 1
-        self.run_end = np.append(breaks, n)[run]
-        self.last_run = int(starts[-1])
-        # Index at which a counter started at zero before event i locks, or n.
-        direct = np.where(idx + bad <= self.run_end, idx + bad - 1, n)
-        run_lock = np.where(starts + bad <= np.append(breaks, n), starts + bad - 1, n)
-        later = np.append(run_lock, n)
-        for r in range(len(starts) - 1, -1, -1):
-            if later[r] == n:
-                later[r] = later[r + 1]
-        self.lock = np.where(direct < n, direct, later[run + 1])
-        # Where counting resumes after that lock, or n.
-        locked = self.lock < n
-        resume = np.full(n, n)
-        resume[locked] = np.searchsorted(times, times[self.lock[locked]] + duration, "left")
-        self.resume = resume
-
-    def end(self, i: int) -> list:
-        """Exit state of a chain whose last counting stretch starts at i."""
-        if self.lock[i] < len(self.t):
-            return [0, 0, int(self.t[self.lock[i]]) + self.duration]
-        return [len(self.t) - max(i, self.last_run), int(self.t[-1]), 0]
-
-    def lock_from(self, count: int) -> int:
-        """Lock index when the first event already follows ``count`` failures."""
-        index = self.bad - count - 1
-        if index < self.run_end[0]:
-            return index
-        return int(self.lock[self.run_end[0]]) if self.run_end[0] < len(self.t) else len(self.t)
-
-
-def _enter(a_first: int, state: list, reset: int) -> tuple[int, int]:
-    """(count before the first event, time counting may resume) for an entry state."""
-    count, last, until = state
-    if until > a_first:
-        return 0, until
-    if count and a_first - last >= reset:
-        return 0, 0
-    return count, 0
-
-
-def lockout_replay(
-    events: DataFrame,
-    bad_count: int = vocab.LOCKOUT_BAD_COUNT,
-    reset_minutes: int = vocab.LOCKOUT_RESET_MINUTES,
-    duration_minutes: int = vocab.LOCKOUT_DURATION_MINUTES,
-    time: TimeRange | None = None,
-    slot_micros: int = HOUR,
-    hot_rows: int = HOT_ROWS,
-    chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
-    """Lockouts the account policy predicts from failed logons.
-
-    Per account: failures count up while less than the reset time lies between
-    them; the ``bad_count``-th locks the account for the duration, during which
-    failures are not counted; counting then starts at zero.
-    """
-    reset, duration = reset_minutes * 60_000_000, duration_minutes * 60_000_000
-    if duration <= 0:
-        raise ValueError("the lockout duration must be positive")
-    attempts = (
-        security(events, [vocab.LOGON_FAILED], time)
-        .select(nth("Account_Name", 1).alias("account"), micros("_time").alias("t"))
-        .filter(F.col("account").isNotNull())
-        .groupBy("account", "t")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-    def native(rows):
-        start = F.struct(
-            F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("last"),
-            F.lit(0).cast("bigint").alias("until"), F.array().cast("array<bigint>").alias("out"),
-        )
-
-        def step(acc, row):
-            t = row["t"]
-            fresh = (acc["c"] == 0) | (t - acc["last"] >= reset)
-            count = F.when(fresh, F.lit(0)).otherwise(acc["c"]) + row["n"]
-            locked = F.struct(
-                F.lit(0).cast("bigint").alias("c"), t.alias("last"), (t + duration).alias("until"),
-                F.array_append(acc["out"], t).alias("out"),
-            )
-            counted = F.struct(
-                count.cast("bigint").alias("c"), t.alias("last"), acc["until"].alias("until"), acc["out"].alias("out")
-            )
-            return F.when(t < acc["until"], acc).when(count >= bad_count, locked).otherwise(counted)
-
-        return F.aggregate(rows, start, step, lambda acc: acc["out"])
-
-    def load(pdf: pd.DataFrame) -> _Attempts:
-        # Failures of the instant that locks fall into the lock itself, so
-        # repeats beyond ``bad_count`` never matter.
-        repeats = np.minimum(pdf["n"].to_numpy(), bad_count)
-        return _Attempts(np.repeat(pdf["t"].to_numpy(), repeats), bad_count, reset, duration)
-
-    def summarise(pdf: pd.DataFrame, start: int) -> str:
-        a = load(pdf)
-        n = len(a.t)
-        tail = _follow(a.resume)
-        reach = min(int(np.searchsorted(a.t, start + duration, "left")), n - 1)
-        fresh: list[list] = []
-        for i in range(reach + 1):
-            state = a.end(int(tail[i]))
-            if fresh and fresh[-1][1] == state:
-                fresh[-1][0] = int(a.t[i])
-            else:
-                fresh.append([int(a.t[i]), state])
-        counted = []
-        for count in range(1, bad_count):
-            lock = a.lock_from(count)
-            if lock >= n:
-                whole = a.run_end[0] >= n
-                counted.append([n + count, int(a.t[-1]), 0] if whole else a.end(int(a.run_end[0])))
-                continue
-            again = int(np.searchsorted(a.t, a.t[lock] + duration, "left"))
-            counted.append(a.end(int(tail[again])) if again < n else [0, 0, int(a.t[lock]) + duration])
-        return json.dumps({"first": int(a.t[0]), "fresh": fresh, "counted": counted})
-
-    def advance(summary: str, state: list) -> list:
-        s = json.loads(summary)
-        count, until = _enter(s["first"], state, reset)
-        if count:
-            return s["counted"][count - 1]
-        for first, exit_state in s["fresh"]:
-            if first >= until:
-                return exit_state
-        return state
-
-    def replay(pdf: pd.DataFrame, state: list) -> list:
-        a = load(pdf)
-        n = len(a.t)
-        count, until = _enter(int(a.t[0]), state, reset)
-        locks = []
-        if count:
-            lock = a.lock_from(count)
-        else:
-            i = int(np.searchsorted(a.t, until, "left"))
-            lock = int(a.lock[i]) if i < n else n
-        while lock < n:
-            locks.append(int(a.t[lock]))
-            i = int(np.searchsorted(a.t, a.t[lock] + duration, "left"))
-            lock = int(a.lock[i]) if i < n else n
-        return locks
-
-    fold = Fold(native, summarise, advance, replay, [0, 0, 0], json.dumps, json.loads)
-    return fold_by_key(attempts, "account", fold, slot_micros, hot_rows, chunk_rows).select(
-        "account",
-        F.timestamp_micros("t").alias("locked_at"),
-        F.timestamp_micros(F.col("t") + duration).alias("unlocks_at"),
-    )

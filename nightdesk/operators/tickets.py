@@ -101,6 +101,10 @@ def build_tickets(
     rows = first_per_key(requests, ["number"], ["created"])
     if existing is not None:
         rows = rows.join(existing.select("number"), "number", "left_anti")
+    # The texts stay out of the lookups and come back by number at the end.
+    long = ["subject", "body", "reply"]
+    texts = rows.select(F.col("number").alias("_number"), *long)
+    rows = rows.drop(*long)
     mails = dims["user_email"].groupBy(F.col("address").alias("_address")).agg(
         F.min(F.struct("id", "user_id")).alias("_mail")
     )
@@ -123,6 +127,7 @@ def build_tickets(
         rows = resolve(rows, dims["sla"], "sla_name", "name", "grace_period", "grace_period", 8)
         hours = F.col("grace_period")
     created = F.col("created")
+    rows = rows.join(texts, F.col("number").eqNullSafe(F.col("_number")))
     return rows.select(
         F.col("number").alias("ticket_id"),
         "number",

@@ -384,13 +384,14 @@ def group_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(o % 2 == 0, _group_slug("o_orderpriority"))
         .otherwise(_group_slug("n_name"))
     )
+    wanted = F.when(o % 3 == 0, F.lower(wanted)).otherwise(wanted)  # people type names in any case
     shifted = F.col("o_custkey") + o % 3
     return (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
         .select(
             o.alias("request_id"),
-            F.concat(F.lit("c"), shifted.cast("string")).alias("sam"),
+            F.concat(F.when(o % 5 == 0, F.lit("C")).otherwise(F.lit("c")), shifted.cast("string")).alias("sam"),
             wanted.alias("group"),
             F.when(o % 4 == 3, F.lit("Remove")).otherwise(F.lit("Add")).alias("action"),
         )

@@ -1,14 +1,13 @@
-"""Registered queries: alerts, suppression, policy replay and their streaming forms."""
+"""Registered queries: alerts, suppression and their streaming forms."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from nightdesk.functions.timerange import TimeRange
-from nightdesk.operators.suppression import lockout_replay, suppress
+from nightdesk.operators.suppression import suppress
 from nightdesk.plans import alerts as A
 from nightdesk.plans import bridge
 from nightdesk.plans.bridge import win_event
@@ -16,7 +15,7 @@ from nightdesk.plans.queries_security import IP, POLICY, buckets, values
 from nightdesk.plans.registry import MICRO, SECOND, WIN, query, with_
 from nightdesk.session import shared_folder
 from nightdesk.streaming import jobs
-from nightdesk.streaming.stateful import stream_lockout_replay, stream_suppress
+from nightdesk.streaming.stateful import stream_suppress
 
 W = with_(WIN)
 
@@ -132,59 +131,34 @@ def st06(spark, d):
     return suppress(rows, "locked_account", 86400).select("locked_account", "_time")
 
 
-REPLAY = f"""WITH RECURSIVE {WIN.strip()},
-src AS (SELECT Account_Name[2] AS k, epoch_us(_time) AS t, row_number() OVER (PARTITION BY Account_Name[2] ORDER BY _time) AS r
-  FROM win WHERE EventCode = '4625' AND Account_Name[2] IS NOT NULL),
-step AS (
-  SELECT k, r, t, 1 AS c, t AS seen, 0::BIGINT AS until, false AS locked FROM src WHERE r = 1
-  UNION ALL
-  SELECT s.k, s.r, s.t,
-    CASE WHEN s.t < p.until THEN p.c WHEN n.c >= 3 THEN 0 ELSE n.c END,
-    CASE WHEN s.t < p.until THEN p.seen ELSE s.t END,
-    CASE WHEN s.t < p.until THEN p.until WHEN n.c >= 3 THEN s.t + 86400000000 ELSE p.until END,
-    s.t >= p.until AND n.c >= 3
-  FROM step p JOIN src s ON s.k = p.k AND s.r = p.r + 1,
-    LATERAL (SELECT CASE WHEN p.c = 0 OR s.t - p.seen >= 172800000000 THEN 1 ELSE p.c + 1 END AS c) n)
-SELECT k AS account, strftime(make_timestamp(t), {MICRO}) AS locked_at,
-  strftime(make_timestamp(t + 86400000000), {MICRO}) AS unlocks_at FROM step WHERE locked"""
-
-
-def replay_options():
-    """Wider than the policy's 5 failures and 30 minutes: the test events are sparse."""
-    return {"bad_count": 3, "reset_minutes": 2880, "duration_minutes": 1440}
-
-
-@query("st09_lockout_replay", REPLAY)
-def st09(spark, d):
-    return lockout_replay(events(spark, d, "brute_force"), **replay_options())
-
-
-# --- streaming forms: the files are read as a stream and worked off once ------------------------
+# --- streaming forms: the files are read as a stream and worked off once, when the query is built -
 
 
 def _stream(spark, d):
-    raw = spark.readStream.schema(bridge.TABLES["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
+    # A pattern, as a stream takes a folder or a pattern: it fits the table as one file and as a folder of parts.
+    raw = spark.readStream.schema(bridge.TABLES["events"]).parquet(f"{d}/events.parque[t]")
     return bridge.win_event_columns(raw)
 
 
 def _work_off(spark, rows, name, mode="append"):
-    """Run a stream over what is there and return the table it wrote."""
-    base = shared_folder(spark, f"{name}-{uuid.uuid4().hex}", fallback=tempfile.gettempdir())
+    """Run a stream over what is there and return the table it wrote; dropped rows are an error."""
+    base = shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
     jobs.use_rocksdb(spark)
-    (
+    run = (
         rows.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{base}/checkpoint")
         .foreachBatch(jobs.append_batch(f"{base}/out", name))
         .trigger(availableNow=True)
         .start()
-        .awaitTermination()
     )
+    run.awaitTermination()
+    jobs.fail_on_dropped(run)
     return spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
 @query("st03_stream_windows", W + f"""SELECT strftime(w, {MICRO}) AS _time, target_account, n AS failure_count, source_ips,
   CASE WHEN n >= 20 THEN 'CRITICAL' WHEN n >= 10 THEN 'HIGH' ELSE 'MEDIUM' END AS risk FROM (
-  SELECT {buckets("'1 day'")} AS w, Account_Name[2] AS target_account, count(*) AS n, {values(IP)} AS source_ips,
+  SELECT {buckets("'1 day'")} AS w, Account_Name[2] AS target_account, count(*) AS n, {values(IP)} AS source_ips
   FROM win WHERE EventCode = '4625' AND Account_Name[2] IS NOT NULL GROUP BY 1, 2) WHERE n >= 5
   AND w + INTERVAL '1 day' <= (SELECT max(_time) FROM win WHERE EventCode = '4625' AND Account_Name[2] IS NOT NULL)""")
 def st03(spark, d):
@@ -198,11 +172,6 @@ def st06_stream(spark, d):
     return _work_off(spark, rows, "st06").select("locked_account", "_time")
 
 
-@query("st09_stream_lockout_replay", REPLAY)
-def st09_stream(spark, d):
-    return _work_off(spark, stream_lockout_replay(_stream(spark, d), "0 seconds", **replay_options()), "st09")
-
-
 @query("st07_stream_lookup", W + f"""SELECT strftime(_time, {MICRO}) AS _time, Account_Name[2] AS actor, host FROM win
   WHERE EventCode IN ('4624', '4648') AND (hour(_time) < 7 OR hour(_time) >= 19)
   AND (regexp_matches(Account_Name[2], '(?i)(admin|jsmith|mchen)')

@@ -250,22 +250,23 @@ usr AS (
     CASE WHEN c_custkey % 17 <> 0 THEN last_order END AS password_last_set, last_order AS last_logon, c_custkey
   FROM customer LEFT JOIN seen ON o_custkey = c_custkey),
 wants AS (
-  SELECT o_orderkey AS request_id, 'c' || (o_custkey + o_orderkey % 3)::VARCHAR AS sam,
+  SELECT request_id, sam, CASE WHEN request_id % 3 = 0 THEN lower(grp) ELSE grp END AS grp, action FROM (
+  SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 5 = 0 THEN 'C' ELSE 'c' END || (o_custkey + o_orderkey % 3)::VARCHAR AS sam,
     CASE WHEN o_orderkey % 10 = 7 THEN n_name WHEN o_orderkey % 10 = 8 THEN 'urgent' WHEN o_orderkey % 10 = 9 THEN 'no such group'
       WHEN o_orderkey % 2 = 0 THEN 'GRP-' || replace(o_orderpriority, ' ', '-') ELSE 'GRP-' || n_name END AS grp,
     CASE WHEN o_orderkey % 4 = 3 THEN 'Remove' ELSE 'Add' END AS action
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey),
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey)),
 sugg AS (
   SELECT w.grp, array_to_string(list_sort(list(DISTINCT name)), ',') AS suggestions
-  FROM (SELECT DISTINCT grp FROM wants WHERE grp NOT IN (SELECT name FROM grps)) w
+  FROM (SELECT DISTINCT grp FROM wants WHERE lower(grp) NOT IN (SELECT lower(name) FROM grps)) w
   JOIN grps ON contains(lower(name), lower(w.grp)) GROUP BY 1),
 plan AS (
-  SELECT w.*, u.sam IS NOT NULL AS has_user, g.name IS NOT NULL AS has_group, p.sam IS NOT NULL AS member, suggestions,
+  SELECT w.request_id, coalesce(u.sam, w.sam) AS sam, coalesce(g.name, w.grp) AS grp, w.action, u.sam IS NOT NULL AS has_user, g.name IS NOT NULL AS has_group, p.sam IS NOT NULL AS member, suggestions,
     CASE WHEN u.sam IS NULL THEN 'FAILED — user not found' WHEN g.name IS NULL THEN 'FAILED — group not found'
       WHEN action = 'Add' AND p.sam IS NOT NULL THEN 'Skipped — already a member'
       WHEN action = 'Remove' AND p.sam IS NULL THEN 'Skipped — not a member' ELSE 'SUCCESS' END AS result
-  FROM wants w LEFT JOIN usr u ON u.sam = w.sam LEFT JOIN grps g ON g.name = w.grp
-  LEFT JOIN pairs p ON p.sam = w.sam AND p.grp = w.grp LEFT JOIN sugg s ON s.grp = w.grp)
+  FROM wants w LEFT JOIN usr u ON u.sam = lower(w.sam) LEFT JOIN grps g ON lower(g.name) = lower(w.grp)
+  LEFT JOIN pairs p ON p.sam = lower(w.sam) AND lower(p.grp) = lower(w.grp) LEFT JOIN sugg s ON s.grp = w.grp)
 """
 DR = with_(DIR)
 
@@ -308,7 +309,7 @@ def inventory(spark, d):
     expected = nation.select(F.lit("nation").alias("kind"), F.col("n_name").alias("name")).unionByName(
         part.select(F.lit("brand").alias("kind"), F.col("p_brand").alias("name")).distinct()
     )
-    joined = customer.filter("c_acctbal > 9000").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     actual = joined.select(
         F.lit("nation").alias("kind"), F.col("n_name").alias("name"), F.lit("customer").alias("detail")
     ).unionByName(
@@ -325,7 +326,7 @@ CHECKS = """checks AS (
   SELECT e.kind, e.name, CASE WHEN a.name IS NULL THEN 'FAIL' ELSE 'PASS' END AS result, a.detail FROM (
     SELECT 'nation' AS kind, n_name AS name FROM nation UNION ALL SELECT DISTINCT 'brand', p_brand FROM part) e
   LEFT JOIN (SELECT DISTINCT 'nation' AS kind, n_name AS name, 'customer' AS detail FROM customer
-      JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000
+      JOIN nation ON c_nationkey = n_nationkey
     UNION ALL SELECT DISTINCT 'brand', 'Brand#' || (s_suppkey % 20)::VARCHAR, 'supplier' FROM supplier) a
   ON a.kind = e.kind AND a.name = e.name)"""
 
@@ -374,11 +375,11 @@ def dr08(spark, d):
     WHERE grp <> 'Domain Users' GROUP BY 1) g ON g.sam = u.sam
   JOIN (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Resigned' WHEN 1 THEN 'Terminated' WHEN 2 THEN 'Transferred'
     ELSE 'LeaveOfAbsence' END AS reason, CASE WHEN c_custkey % 3 <> 0 THEN 'T' || c_custkey::VARCHAR END AS ticket
-    FROM customer WHERE c_acctbal < 0) r ON r.c_custkey = u.c_custkey""")
+    FROM customer) r ON r.c_custkey = u.c_custkey""")
 def dr09(spark, d):
     k = F.col("c_custkey")
     reasons = F.array(*[F.lit(r) for r in ("Resigned", "Terminated", "Transferred", "LeaveOfAbsence")])
-    requests = bridge.table(spark, d, "customer").filter("c_acctbal < 0").select(
+    requests = bridge.table(spark, d, "customer").select(
         F.concat(F.lit("c"), k.cast("string")).alias("username"),
         F.get(reasons, (k % 4).cast("int")).alias("reason"),
         F.lit("agent1").alias("agent"),
@@ -398,7 +399,7 @@ def u04(spark, d):
 
 
 @query("j08_membership_test", DR + """SELECT request_id, sam, grp AS "group", action FROM wants w
-  WHERE EXISTS (SELECT 1 FROM pairs p WHERE p.sam = w.sam AND p.grp = w.grp)""")
+  WHERE EXISTS (SELECT 1 FROM pairs p WHERE p.sam = lower(w.sam) AND lower(p.grp) = lower(w.grp))""")
 def j08(spark, d):
     return D.is_member(bridge.ad_memberships(spark, d), bridge.group_requests(spark, d))
 

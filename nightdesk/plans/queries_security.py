@@ -406,7 +406,7 @@ def q16(spark, d):
   ORDER BY win._time DESC, 2, 3, 4, 5 LIMIT 15""")
 def q16_panel(spark, d):
     return changes.policy_changes(
-        win_event(spark, d, vocab.POLICY_CODES, DAY), T_NOW, "panel", TimeRange.default(T_NOW)
+        win_event(spark, d, vocab.POLICY_CODES, DAY), T_NOW, "panel", TimeRange.default(T_NOW), k=changes.PANEL_ROWS
     )
 
 

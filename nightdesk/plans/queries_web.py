@@ -22,7 +22,12 @@ CLASS = """CASE WHEN status::INTEGER >= 500 THEN '5xx - Server Error' WHEN statu
 
 def parsed(spark, d, time=None):
     """Access lines of the range, parsed by the source type's transform."""
-    return apply_sourcetype(bridge.access_lines(spark, d, time), vocab.ACCESS_SOURCETYPE)
+    return apply_sourcetype(bridge.access_lines(spark, d, time), vocab.ACCESS_SOURCETYPE, time)
+
+
+def timed(spark, d, time=None):
+    """Access lines of the range with their time only."""
+    return parsing.access_times(bridge.access_lines(spark, d, time), time)
 
 
 @query("x01_access_fields", WITH_WEB + """SELECT client_ip, '-' AS user, stamp AS timestamp, method, uri, status, bytes,
@@ -33,7 +38,7 @@ def x01(spark, d):
 
 @query("x02_access_time", WITH_WEB + f"""SELECT strftime(_time, {MICRO}) AS _time, count(*) AS n FROM web GROUP BY 1""")
 def x02(spark, d):
-    return parsed(spark, d).groupBy("_time").agg(F.count(F.lit(1)).alias("n"))
+    return timed(spark, d).groupBy("_time").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("x09_status_class", WITH_WEB + f"""SELECT {CLASS} AS status_class, status, count(*) AS n FROM web GROUP BY ALL""")
@@ -43,7 +48,7 @@ def x09(spark, d):
 
 @query("w01_kpi_requests", WITH_WEB + f"SELECT count(*) AS requests FROM web WHERE {DAY_SQL}")
 def w01(spark, d):
-    return web.kpi_requests(parsed(spark, d, DAY), T_NOW)
+    return web.kpi_requests(timed(spark, d, DAY), T_NOW)
 
 
 @query("w02_kpi_http_errors", WITH_WEB + f"""SELECT n AS http_errors, CASE WHEN n <= 0 THEN 0 WHEN n <= 10 THEN 1 ELSE 2 END AS band

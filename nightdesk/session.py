@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -28,13 +29,15 @@ def build_session(app: str = "nightdesk", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, name: str, fallback: str | None = None) -> str:
+def shared_folder(spark: SparkSession, name: str) -> str:
     """A path under the cluster's shared folder, read from ``spark.checkpoint.dir``.
 
-    ``fallback`` is used only where that setting is absent, as in tests; with
-    neither there is no safe place to write and the call fails.
+    Without that setting there is no safe place to write on a cluster and the call fails; only a
+    session on one machine, as in tests, gets a folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "nightdesk")
     return os.path.join(base.rstrip("/"), name) if "://" not in base else f"{base.rstrip('/')}/{name}"

@@ -49,15 +49,14 @@ def stream_security_events(
     path: str,
     index: str = vocab.SECURITY_INDEX,
     sourcetype: str | None = vocab.SECURITY_SOURCETYPE,
-    max_files: int = 1000,
 ) -> DataFrame:
-    """Streaming twin of :func:`security_events`; starts with the oldest files."""
-    df = (
-        spark.readStream.schema(_STORED)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(path)
-        .filter(F.col("index") == index)
-    )
+    """Streaming twin of :func:`security_events`.
+
+    All files that are there form one micro-batch.  A limit on files would cut history into batches
+    in the order of file times, and events behind the watermark of an earlier batch would be lost.
+    For a long history run the batch operator and start the stream with its result as state.
+    """
+    df = spark.readStream.schema(_STORED).parquet(path).filter(F.col("index") == index)
     return df if sourcetype is None else df.filter(F.col("sourcetype") == sourcetype)
 
 
@@ -84,5 +83,5 @@ def catalog_summary(events: DataFrame, like: str = "WinEventLog%") -> DataFrame:
 
 
 def probe(events: DataFrame, host: str = "DC01", n: int = 5) -> DataFrame:
-    """Newest few events of one host, to see whether data flows."""
-    return events.filter(same_text("host", host)).orderBy(F.desc("_time")).limit(n)
+    """Newest few events of one host, to see whether data flows; ties by the other columns."""
+    return events.filter(same_text("host", host)).orderBy(F.desc("_time"), *sorted(set(events.columns) - {"_time"})).limit(n)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nightdesk import vocab
 from nightdesk.functions.parsing import parse_access, parse_audit, parse_install
+from nightdesk.functions.timerange import TimeRange
 
 AUDIT_SOURCETYPE = "helpdesk_audit"
 INSTALL_SOURCETYPE = "agent_install"
@@ -33,8 +34,10 @@ def register(sourcetype: str, transform: Callable[[DataFrame], DataFrame]) -> No
     TRANSFORMS[sourcetype] = transform
 
 
-def apply_sourcetype(lines: DataFrame, sourcetype: str) -> DataFrame:
-    return TRANSFORMS.get(sourcetype, raw_line)(lines)
+def apply_sourcetype(lines: DataFrame, sourcetype: str, time: TimeRange | None = None) -> DataFrame:
+    """The fields of a source type; access lines outside ``time`` go before they are parsed."""
+    transform = TRANSFORMS.get(sourcetype, raw_line)
+    return transform(lines, time=time) if transform is parse_access else transform(lines)
 
 
 def _tagged(lines: DataFrame, sourcetype: str, index: str, host: str | None) -> DataFrame:
@@ -65,10 +68,9 @@ def stream_lines(
     sourcetype: str,
     index: str = vocab.WEB_INDEX,
     host: str | None = vocab.WEB_HOST,
-    max_files: int = 1000,
 ) -> DataFrame:
     """Streaming twin of :func:`read_lines` over a folder of rolled files."""
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+    lines = spark.readStream.text(path)
     return apply_sourcetype(_tagged(lines, sourcetype, index, host), sourcetype)
 
 

@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 from nightdesk import vocab
 
 
-def append_alerts(fired: DataFrame, path: str) -> None:
-    """Append triggered-alert rows, partitioned by alert and date."""
+def append_alerts(fired: DataFrame, path: str, run: str) -> None:
+    """Add the triggered-alert rows of one run, partitioned by run, alert and date.
+
+    The same run again replaces its own rows and no others.
+    """
     (
-        fired.withColumn("fired_date", F.to_date("fired_at"))
-        .write.mode("append")
-        .partitionBy("alert", "fired_date")
+        fired.withColumns({"run": F.lit(run), "fired_date": F.to_date("fired_at")})
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run", "alert", "fired_date")
         .parquet(path)
     )
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
-    """Text reports, one folder per employee and date."""
-    reports.select("username", "report_date", F.col("report").alias("value")).write.mode(mode).partitionBy(
+    """Text reports, one folder per employee and date; a refused request has none."""
+    reports.filter(F.col("report").isNotNull()).select("username", "report_date", F.col("report").alias("value")).write.mode(mode).partitionBy(
         "username", "report_date"
     ).text(path)
 

@@ -70,6 +70,14 @@ def append_batch(path: str, name: str):
     return write
 
 
+def fail_on_dropped(query: StreamingQuery) -> None:
+    """Raise when a run has dropped rows behind its watermark instead of losing them silently."""
+    states = [s for p in query.recentProgress for s in (p["stateOperators"] or [])]
+    dropped = sum(s["numRowsDroppedByWatermark"] for s in states)
+    if dropped:
+        raise RuntimeError(f"{dropped} rows came later than the watermark allows; run the batch operator over them")
+
+
 def _scheduled(writer: DataStreamWriter, spec: AlertSpec, once: bool) -> DataStreamWriter:
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=spec.trigger)
 

@@ -1,8 +1,9 @@
-"""Ordered stateful operators: suppression and lockout-policy replay on streams."""
+"""Suppression on streams."""
 
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,12 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from nightdesk import vocab
 from nightdesk.functions.chunked import micros
-from nightdesk.functions.scalars import nth
-from nightdesk.operators.base import security
 
 _OUTPUT = "key string, t bigint, payload string"
+SLOT = 60 * 1_000_000
 
 
 class OrderedFold(StatefulProcessor):
@@ -25,6 +24,8 @@ class OrderedFold(StatefulProcessor):
     in any order; the output equals that of the batch operator.  ``advance``
     maps (state, t) to (state, emit).  ``settled`` tells whether a buffered row
     can no longer change anything, so hot keys do not pile up in the state.
+    Rows wait in slots of a minute; a timer reads and rewrites one slot at a
+    time, never all that a key has pending.
     """
 
     def __init__(self, advance: Callable, settled: Callable, initial):
@@ -33,63 +34,62 @@ class OrderedFold(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.value = handle.getValueState("state", "v string")
-        self.pending = handle.getListState("pending", "t bigint, payload string")
+        self.pending = handle.getMapState("pending", "slot bigint", "rows string")
 
     def _state(self):
         return json.loads(self.value.get()[0]) if self.value.exists() else self.initial
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.value.update((json.dumps(int(initialState["t"].max())),))
+
+    def _put(self, slot: int, rows: list) -> None:
+        self.pending.updateValue((slot,), (json.dumps(rows),))
+        self.handle.registerTimer(min(t for t, _ in rows) // 1000)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        state, earliest, kept = self._state(), None, []
+        watermark, state = timerValues.getCurrentWatermarkInMs() * 1000, self._state()
         for pdf in rows:
-            for t, payload in zip(pdf["t"], pdf["payload"]):
+            slots = defaultdict(list)
+            for t, payload in zip(pdf["t"].tolist(), pdf["payload"].tolist()):
                 if t >= watermark and not self.settled(state, t):
-                    kept.append((int(t), payload))
-                    earliest = t if earliest is None else min(earliest, t)
-        if kept:
-            self.pending.appendList(kept)
-            self.handle.registerTimer(int(earliest) // 1000)
+                    slots[t // SLOT].append([t, payload])
+            for slot, new in slots.items():
+                held = json.loads(self.pending.getValue((slot,))[0]) if self.pending.containsKey((slot,)) else []
+                self._put(slot, held + new)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.pending.get()) if self.pending.exists() else []
-        due = [r for r in rows if r[0] // 1000 <= watermark]
-        later = [r for r in rows if r[0] // 1000 > watermark]
-        state, out = self._state(), []
-        for t, payload in due:
-            state, emit = self.advance(state, t)
-            if emit:
-                out.append((key[0], t, payload))
-        later = [r for r in later if not self.settled(state, r[0])]
-        self.value.update((json.dumps(state),))
-        self.pending.clear()
-        if later:
-            self.pending.put(later)
-            self.handle.registerTimer(later[0][0] // 1000)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "t", "payload"])
+        watermark, state = timerValues.getCurrentWatermarkInMs(), self._state()
+        for slot in sorted(k[0] for k in self.pending.keys() if k[0] * SLOT // 1000 <= watermark):
+            rows, out = sorted(json.loads(self.pending.getValue((slot,))[0])), []
+            for t, payload in (r for r in rows if r[0] // 1000 <= watermark):
+                state, emit = self.advance(state, t)
+                if emit:
+                    out.append((key[0], t, payload))
+            later = [r for r in rows if r[0] // 1000 > watermark and not self.settled(state, r[0])]
+            if later:
+                self._put(slot, later)
+            else:
+                self.pending.removeKey((slot,))
+            self.value.update((json.dumps(state),))
+            if out:
+                yield pd.DataFrame(out, columns=["key", "t", "payload"])
 
     def close(self) -> None:
         pass
 
 
-def _fold(stream: DataFrame, delay: str, processor: OrderedFold) -> DataFrame:
-    return (
-        stream.withWatermark("_time", delay)
-        .groupBy("key")
-        .transformWithStateInPandas(
-            statefulProcessor=processor,
-            outputStructType=_OUTPUT,
-            outputMode="Append",
-            timeMode="EventTime",
-        )
-    )
-
+def stream_suppress(
+    alerts: DataFrame, key: str, period: int, delay: str, time: str = "_time", fired: DataFrame | None = None
+) -> DataFrame:
+    """Streaming twin of :func:`nightdesk.operators.suppression.suppress`.
 
-def stream_suppress(alerts: DataFrame, key: str, period: int, delay: str, time: str = "_time") -> DataFrame:
-    """Streaming twin of :func:`nightdesk.operators.suppression.suppress`."""
+    ``fired`` holds earlier firings (the key and time columns), for a stream
+    that goes on where a batch run over history ended.
+    """
     span = int(period) * 1_000_000
+    if span <= 0:
+        raise ValueError("the suppression period must be positive")
 
     def advance(last, t):
         return (t, True) if last is None or t - last >= span else (last, False)
@@ -98,46 +98,24 @@ def stream_suppress(alerts: DataFrame, key: str, period: int, delay: str, time:
         return last is not None and t - last < span
 
     payload = F.to_json(F.struct(*alerts.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
-    shaped = alerts.filter(F.col(key).isNotNull()).select(
+    shaped = alerts.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(
         F.col(time).alias("_time"), F.col(key).cast("string").alias("key"), micros(time).alias("t"),
         payload.alias("payload"),
     )
-    fired = _fold(shaped, delay, OrderedFold(advance, settled, None))
-    return fired.select(
+    seed = None
+    if fired is not None:
+        seed = fired.groupBy(F.col(key).cast("string").alias("key")).agg(F.max(micros(time)).alias("t")).groupBy("key")
+    folded = (
+        shaped.withWatermark("_time", delay)
+        .groupBy("key")
+        .transformWithStateInPandas(
+            statefulProcessor=OrderedFold(advance, settled, None),
+            outputStructType=_OUTPUT,
+            outputMode="Append",
+            timeMode="EventTime",
+            initialState=seed,
+        )
+    )
+    return folded.select(
         F.from_json("payload", alerts.schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("row")
     ).select("row.*")
-
-
-def stream_lockout_replay(
-    events: DataFrame,
-    delay: str,
-    bad_count: int = vocab.LOCKOUT_BAD_COUNT,
-    reset_minutes: int = vocab.LOCKOUT_RESET_MINUTES,
-    duration_minutes: int = vocab.LOCKOUT_DURATION_MINUTES,
-) -> DataFrame:
-    """Streaming twin of :func:`nightdesk.operators.suppression.lockout_replay`."""
-    reset, duration = reset_minutes * 60_000_000, duration_minutes * 60_000_000
-
-    def advance(state, t):
-        count, last, until = state
-        if t < until:
-            return state, False
-        count = 1 if count == 0 or t - last >= reset else count + 1
-        if count >= bad_count:
-            return [0, 0, t + duration], True
-        return [count, t, 0], False
-
-    def settled(state, t):
-        return t < state[2]
-
-    shaped = (
-        security(events, [vocab.LOGON_FAILED])
-        .select("_time", nth("Account_Name", 1).alias("key"), micros("_time").alias("t"), F.lit("").alias("payload"))
-        .filter(F.col("key").isNotNull())
-    )
-    locks = _fold(shaped, delay, OrderedFold(advance, settled, [0, 0, 0]))
-    return locks.select(
-        F.col("key").alias("account"),
-        F.timestamp_micros("t").alias("locked_at"),
-        F.timestamp_micros(F.col("t") + duration).alias("unlocks_at"),
-    )

@@ -188,9 +188,6 @@ KPI_BANDS = {
 LOCAL_ADDRESSES = ["-", "unknown", "127.0.0.1"]
 LOCAL_ADDRESSES_PANEL = ["-", "unknown", "127.0.0.1", "::1"]
 BUSINESS_HOURS = (7, 19)
-LOCKOUT_BAD_COUNT = 5
-LOCKOUT_RESET_MINUTES = 30
-LOCKOUT_DURATION_MINUTES = 30
 
 # --- time text formats (Spark datetime patterns) -------------------------------
 SECOND = "yyyy-MM-dd HH:mm:ss"
@@ -210,6 +207,25 @@ DEFAULT_GROUP = "Domain Users"
 DISABLED_OU = "OU=Disabled,DC=corp,DC=local"
 RETENTION_DAYS = 90
 TICKET_IP = "10.10.10.1"
+# Lines of the offboarding report.
+REPORT_FIELDS = {
+    "Employee": "employee",
+    "Username": "username",
+    "Department": "department",
+    "Title": "title",
+    "Email": "mail",
+    "Reason": "reason",
+    "Offboarded By": "agent",
+    "Ticket Number": "ticket",
+}
+FOLLOW_UP = [
+    "Retrieve company equipment (laptop, badge, phone)",
+    "Transfer/archive mailbox contents (Exchange admin)",
+    "Revoke VPN certificate / pfSense user entry",
+    "Remove from any non-AD systems (Jira, GitHub, Slack, etc.)",
+    "Update org chart in HR system",
+    "Forward voicemail / email to manager (if policy requires)",
+]
 SEVERITY = {3: "Medium", 4: "High"}
 
 # --- display names for result tables -------------------------------------------
@@ -316,6 +332,26 @@ DISPLAY_NAMES = {
         "actor": "Performed By",
         "host": "DC",
     },
+    "brute_force_panel": {
+        "window": "Window",
+        "risk": "Risk",
+        "target_account": "Account",
+        "failures": "Failures",
+        "source_ips": "Source IP(s)",
+    },
+    "lockouts_panel": {
+        "lockout_time": "Time",
+        "locked_account": "Account",
+        "source_workstation": "From Workstation",
+        "host": "DC",
+    },
+    "new_accounts_panel": {
+        "create_time": "Created At",
+        "new_account": "New Account",
+        "created_by": "Created By",
+        "is_privileged": "Priv Name?",
+        "dc_host": "DC",
+    },
     "ticket_report": {
         "number": "#",
         "subject": "Subject",

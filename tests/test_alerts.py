@@ -6,12 +6,12 @@ import pytest
 from helpers import at, events, failure, lockout, policy, rows
 from pyspark.sql import functions as F
 
-from nightdesk.operators.suppression import lockout_replay, suppress
+from nightdesk.operators.suppression import suppress
 from nightdesk.plans import alerts as A
 from nightdesk.sources import sinks
 from nightdesk.sources.events import stream_security_events, write_events
 from nightdesk.streaming import jobs
-from nightdesk.streaming.stateful import stream_lockout_replay, stream_suppress
+from nightdesk.streaming.stateful import stream_suppress
 
 NOW = "2024-03-05 12:00:00"
 
@@ -81,7 +81,8 @@ def test_alert_log(spark, tmp_path):
     spec = A.ALERTS["lockout"]
     e = events(spark, [lockout("10:00:00"), lockout("10:04:59"), lockout("10:05:00")])
     fired = A.alert_records(A.alert_history(e, spec), spec)
-    sinks.append_alerts(fired, str(tmp_path / "log"))
+    sinks.append_alerts(fired, str(tmp_path / "log"), "run1")
+    sinks.append_alerts(fired, str(tmp_path / "log"), "run1")
     log = spark.read.parquet(str(tmp_path / "log"))
     assert sorted(str(r["fired_at"])[11:] for r in log.collect()) == ["10:00:00", "10:05:00"]
     assert log.first()["subject"] == "[ALERT] AD Account Locked Out: bob"
@@ -123,16 +124,11 @@ def run_all(spark, rows_, name, tmp_path):
 
 def test_streaming_equals_batch(spark, store, tmp_path):
     path, batch = store
-    stream = stream_security_events(spark, path, max_files=1)
+    stream = stream_security_events(spark, path)
     got = run_all(spark, stream_suppress(A.search_lockout(stream), "locked_account", 300, "2 hours"), "s1", tmp_path)
     want = suppress(A.search_lockout(batch), "locked_account", 300)
     assert sorted(rows(got.filter("locked_account <> 'flush'"))) == sorted(rows(want)) and want.count() > 10
 
-    options = {"bad_count": 3, "reset_minutes": 5, "duration_minutes": 7}
-    got = run_all(spark, stream_lockout_replay(stream, "2 hours", **options), "s2", tmp_path)
-    want = lockout_replay(batch, **options)
-    assert sorted(rows(got)) == sorted(rows(want)) and want.count() > 10
-
     got = run_all(spark, jobs.failure_windows(stream, min_failures=3, delay="2 hours"), "s3", tmp_path)
     want = A.search_brute_force(batch, min_failures=3)
     assert sorted(rows(got)) == sorted(rows(want.select(*got.columns))) and want.count() > 3

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from nightdesk.operators.suppression import HOUR, lockout_replay, suppress
+from nightdesk.operators.suppression import HOUR, suppress
 
 SECOND = 1_000_000
 
@@ -19,19 +19,6 @@ def greedy(times, period):
     return out
 
 
-def policy(times, bad=5, reset=1800 * SECOND, duration=1800 * SECOND):
-    count, last, until, out = 0, 0, 0, []
-    for t in sorted(times):
-        if t < until:
-            continue
-        count = 1 if count == 0 or t - last >= reset else count + 1
-        last = t
-        if count >= bad:
-            out.append(t)
-            count, until = 0, t + duration
-    return out
-
-
 @pytest.fixture(scope="module")
 def bursts():
     """Keys from constant attack to rare events, with repeated instants."""
@@ -72,22 +59,6 @@ def test_suppress_equals_single_pass(spark, bursts, hot, slot, size):
         assert all(b - a >= 300 * SECOND for a, b in zip(times, times[1:]))
 
 
-@pytest.mark.parametrize("hot,slot,size", ROUTES)
-def test_lockout_replay_equals_single_pass(spark, bursts, hot, slot, size):
-    rows = [(k, t) for k, ts in bursts.items() for t in ts]
-    random.Random(2).shuffle(rows)
-    events = spark.createDataFrame(rows, "key string, t bigint").select(
-        F.timestamp_micros("t").alias("_time"),
-        F.lit("wineventlog").alias("index"),
-        F.lit("WinEventLog:Security").alias("sourcetype"),
-        F.lit("4625").alias("EventCode"),
-        F.array(F.lit("DC01$"), "key").alias("Account_Name"),
-    )
-    got = collected(lockout_replay(events, slot_micros=slot, hot_rows=hot, chunk_rows=size), "account", "locked_at")
-    expected = {k: policy(ts) for k, ts in bursts.items()}
-    assert got == {k: v for k, v in expected.items() if v}
-
-
 def test_suppression_boundary(spark):
     """One second short of the period is muted; exactly the period fires."""
     rows = [("a", 0), ("a", 299), ("a", 300), ("a", 599), ("b", 10), (None, 5)]
