@@ -1,13 +1,16 @@
 """Alerts, their schedules, texts and streaming forms."""
 
+import os
 import random
 
 import pytest
+from conftest import TESTDATA
 from helpers import at, events, failure, lockout, policy, rows
 from pyspark.sql import functions as F
 
 from nightdesk.operators.suppression import suppress
 from nightdesk.plans import alerts as A
+from nightdesk.plans.catalog import QUERIES
 from nightdesk.sources import sinks
 from nightdesk.sources.events import stream_security_events, write_events
 from nightdesk.streaming import jobs
@@ -152,3 +155,41 @@ def test_alert_stream_job_is_idempotent(spark, store, tmp_path):
     # A later run starts from the checkpoint and finds nothing new.
     jobs.start_alert(stream, spec, log, str(tmp_path / "ck"), once=True, suppressed=False).awaitTermination(300)
     assert jobs.read_alert_log(spark, log).count() == 3
+
+
+def test_streams_read_a_table_of_parts_in_any_file_order(spark, tmp_path):
+    """The table is a folder, its files are older and newer than each other at random."""
+    source = f"{TESTDATA}/sf0.001/events.parquet"
+    if not os.path.exists(source):
+        pytest.skip("test tables are not there")
+    path = tmp_path / "events.parquet"
+    spark.read.parquet(source).repartition(6).write.parquet(str(path))
+    for k, part in enumerate(sorted(path.glob("part-*"))):
+        os.utime(part, (1_600_000_000 + (k * 7 % 6) * 1000,) * 2)
+    whole = rows(QUERIES["st06_suppression"](spark, str(tmp_path)))
+    got = rows(QUERIES["st06_stream_suppression"](spark, str(tmp_path)))
+    newest = max(t for _, t in whole)
+    assert sorted(r for r in whole if r[1] < newest) == sorted(r for r in got if r[1] < newest) and len(got) > 10
+
+
+def test_stream_goes_on_from_a_batch_run(spark, tmp_path):
+    """Firings of the batch run over history mute the stream's first events."""
+    jobs.use_rocksdb(spark)
+    old = [lockout("10:00:00"), lockout("10:02:00")]
+    new = [lockout("10:04:00"), lockout("10:05:00"), lockout("10:06:00"), lockout("23:00:00", "flush")]
+    fired = suppress(A.search_lockout(events(spark, old)), "locked_account", 300)
+    write_events(events(spark, new), str(tmp_path / "store"))
+    stream = A.search_lockout(stream_security_events(spark, str(tmp_path / "store")))
+    got = run_all(spark, stream_suppress(stream, "locked_account", 300, "1 minute", fired=fired), "seeded", tmp_path)
+    times = [str(r["_time"])[11:] for r in got.filter("locked_account <> 'flush'").collect()]
+    assert times == ["10:05:00"]
+    with pytest.raises(ValueError):
+        stream_suppress(stream, "locked_account", 0, "1 minute")
+
+
+def test_dropped_rows_fail_the_run():
+    class Run:
+        recentProgress = [{"stateOperators": []}, {"stateOperators": [{"numRowsDroppedByWatermark": 3}]}]
+
+    with pytest.raises(RuntimeError, match="3 rows"):
+        jobs.fail_on_dropped(Run())
