@@ -37,7 +37,8 @@ RANGE_BITS = 12
 GROUP_GRAMS = 1_000_000
 MOST_TARGET = 20_000
 FILTER_BITS = 25
-MERGE = 1 << 22
+MERGE = 1 << 21
+CARRIED = 4_000_000
 ROOT = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -68,7 +69,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.diff(keys, prepend=~keys[:1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first, axis=0) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, axis=0, dtype=counts.dtype) if len(first) else counts
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -90,9 +91,9 @@ def count_grams(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in pieces(whole, "text", 2 << 20):
                 of, one, two = grams(texts_of(batch.column("text")))
-                target = np.asarray(batch.column("target").to_pylist(), np.int64)[of]
+                target = np.asarray(batch.column("target").to_pylist(), np.uint32)[of]
                 keys = np.concatenate([one, two])
-                held.append(_summed(keys, np.stack([np.tile(target, 2), np.ones(len(keys), np.int64)], 1)))
+                held.append(_summed(keys, np.stack([np.tile(target, 2), np.ones(len(keys), np.uint32)], 1)))
                 size += len(held[-1][0])
                 if size > MERGE:
                     yield flush()
@@ -168,7 +169,39 @@ def score(docs: DataFrame, target: DataFrame, most_target: int = MOST_TARGET) ->
     flagged = rows.join(good, F.col("doc_id") == F.col("good"), "left")
     flagged = flagged.select("text", F.col("good").isNotNull().cast("long").alias("target"))
     known, blank, target_words = vocabulary(written(count_grams(flagged), f"{folder}/blocks"), folder)
+    # A vocabulary of up to ``CARRIED`` grams (12 bytes each) goes to the tasks; beyond that it is joined.
+    summed = (_carried if known.count() <= CARRIED else _joined)(rows, known)
+    unknown = (F.col("words") - F.col("n_one")) * blank[False] + (F.col("words") - F.col("n_two")) * blank[True]
+    mean = F.when(F.col("words") > 0, (F.col("total") + unknown) / (2 * F.col("words"))).otherwise(0.0)
+    return summed.select("doc_id", "words", (mean if target_words else F.lit(0.0)).alias("score"))
+
 
+def _carried(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``doc_id, words, total, n_one, n_two``: summed loss and number of known grams, by lookup in sorted arrays."""
+    found = known.select("key", "loss").toPandas()  # at most ``CARRIED`` rows
+    keys = found["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    keys, losses = keys[order], found["loss"].to_numpy(np.float32)[order]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text", 1 << 20):
+                of, *orders = grams(texts_of(batch.column("text")))
+                size = batch.num_rows
+                total, hits = np.zeros(size), []
+                for asked in orders:
+                    at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+                    hit = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+                    hits.append(np.bincount(of[hit], minlength=size))
+                    total += np.bincount(of[hit], weights=losses[at[hit]] if len(keys) else None, minlength=size)
+                columns = [np.bincount(of, minlength=size), total, *hits]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], ["doc_id", "words", "total", "n_one", "n_two"])
+
+    return map_arrow(rows, work, "doc_id long, words long, total double, n_one long, n_two long")
+
+
+def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The same by a join on the key; only grams that a bit filter of fixed size lets through are shuffled."""
     bit = F.shiftrightunsigned("key", 64 - FILTER_BITS)
     marks = known.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
     marks = marks.agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toPandas()  # 2**19 rows at most
@@ -202,18 +235,11 @@ def score(docs: DataFrame, target: DataFrame, most_target: int = MOST_TARGET) ->
     parts = map_arrow(numbered, work, "row long, doc_id long, words long, key long, n long")
     met = parts.join(known.hint("merge"), "key", "left")
 
-    def total(two: bool):
-        hit = F.col("two") == F.lit(two)
-        return F.sum(F.when(hit, F.col("n") * F.col("loss")).otherwise(0.0)), F.sum(F.when(hit, F.col("n")).otherwise(0))
-
-    (one, n_one), (two, n_two) = total(False), total(True)
-    summed = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("words").alias("words"),
-        one.alias("one"), two.alias("two"), n_one.alias("n_one"), n_two.alias("n_two"),
+    one, two = (F.sum(F.when(F.col("two") == flag, F.col("n")).otherwise(0)) for flag in (False, True))
+    total = F.coalesce(F.sum(F.col("n") * F.col("loss")), F.lit(0.0))
+    return met.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("words").alias("words"), total.alias("total"), one.alias("n_one"), two.alias("n_two")
     )
-    unknown = (F.col("words") - F.col("n_one")) * blank[False] + (F.col("words") - F.col("n_two")) * blank[True]
-    mean = F.when(F.col("words") > 0, (F.col("one") + F.col("two") + unknown) / (2 * F.col("words"))).otherwise(0.0)
-    return summed.select("doc_id", "words", (mean if target_words else F.lit(0.0)).alias("score"))
 
 
 @query("op3_lm_score")
