@@ -15,7 +15,7 @@ def run_folder(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/nightdesk-llm"
     return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
