@@ -37,7 +37,7 @@ RANGE_BITS = 12
 GROUP_GRAMS = 1_000_000
 MOST_TARGET = 20_000
 FILTER_BITS = 25
-MERGE = 1 << 21
+MERGE = 1 << 20
 CARRIED = 4_000_000
 ROOT = np.uint64(0xA5A5A5A5A5A5A5A5)
 
@@ -89,7 +89,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             )
 
         for whole in batches:
-            for batch in pieces(whole, "text", 2 << 20):
+            for batch in pieces(whole, "text", 1 << 20):
                 of, one, two = grams(texts_of(batch.column("text")))
                 target = np.asarray(batch.column("target").to_pylist(), np.uint32)[of]
                 keys = np.concatenate([one, two])
