@@ -3,8 +3,8 @@
 Both models join a unigram and a bigram model with equal weight in the logarithm, over one
 vocabulary: the words and word pairs that occur at least ``LEAST_COUNT`` times in all documents;
 the rest of an order is one unknown gram.  The background model counts all documents, the target
-model those labelled as good (at most ``MOST_TARGET`` of them, by a hash of the id); the target is
-smoothed towards the background with a Dirichlet prior.  The score of a document is the mean over
+model all of those labelled as good; the target is smoothed towards the background with a
+Dirichlet prior.  The score of a document is the mean over
 its words of target loss minus background loss, in nats; lower means closer to the target.
 
 A gram's key holds its context in the upper bits and the pair in the lower ones, so the counts of
@@ -35,7 +35,6 @@ PRIOR = 5.0
 CONTEXT_BITS = 24
 RANGE_BITS = 12
 GROUP_GRAMS = 1_000_000
-MOST_TARGET = 20_000
 FILTER_BITS = 25
 MERGE = 1 << 20
 CARRIED = 4_000_000
@@ -160,15 +159,29 @@ def vocabulary(blocks: DataFrame, folder: str) -> tuple[DataFrame, dict[bool, fl
     return written(known, f"{folder}/vocabulary"), blank, all_t
 
 
-def score(docs: DataFrame, target: DataFrame, most_target: int = MOST_TARGET) -> DataFrame:
+def flagged(rows: DataFrame, good: DataFrame) -> DataFrame:
+    """``text, target`` of every row; ``good`` are distinct ids, none of them null.
+
+    A bit filter of fixed size over the ids keeps the texts of most other rows out of the shuffle;
+    the join that follows is exact, so the filter's size never changes the result.
+    """
+    bit = F.shiftrightunsigned(F.xxhash64("good"), 64 - FILTER_BITS)
+    marks = good.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+    marks = marks.agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits"))
+    bit = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS)
+    asked = rows.withColumn("bit", bit).join(F.broadcast(marks), F.shiftright("bit", 6) == F.col("word"), "left")  # 2**19 rows at most
+    may = F.coalesce(F.col("doc_id").isNotNull() & F.expr("(shiftrightunsigned(bits, CAST(bit & 63 AS INT)) & 1) = 1"), F.lit(False))
+    met = asked.where(may).join(good, F.col("doc_id") == F.col("good"), "left").select("text", F.col("good").isNotNull().cast("long").alias("target"))
+    return met.unionByName(asked.where(~may).select("text", F.lit(0).cast("long").alias("target")))
+
+
+def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """``doc_id, words, score`` of every row; ``target`` lists the ids of the target documents."""
     folder = run_folder(docs.sparkSession, "lm")
     good = target.select(F.col("doc_id").cast("long").alias("good")).where("good IS NOT NULL").distinct()
-    good = F.broadcast(good.orderBy(F.xxhash64("good", F.lit("lm")), "good").limit(most_target))  # that many ids at most
+    good = written(good, f"{folder}/good")  # so the join shuffles both sides anew and a hot id can be split
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    flagged = rows.join(good, F.col("doc_id") == F.col("good"), "left")
-    flagged = flagged.select("text", F.col("good").isNotNull().cast("long").alias("target"))
-    known, blank, target_words = vocabulary(written(count_grams(flagged), f"{folder}/blocks"), folder)
+    known, blank, target_words = vocabulary(written(count_grams(flagged(rows, good)), f"{folder}/blocks"), folder)
     # A vocabulary of up to ``CARRIED`` grams (12 bytes each) goes to the tasks; beyond that it is joined.
     summed = (_carried if known.count() <= CARRIED else _joined)(rows, known)
     unknown = (F.col("words") - F.col("n_one")) * blank[False] + (F.col("words") - F.col("n_two")) * blank[True]

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_llm_operators import ROUGH, SCHEMA, ordered, words
 
 from nightdesk.llm import lm_score, preference
@@ -114,3 +115,17 @@ def test_target_like_texts_score_lower(spark):
     good = docs.where("doc_id % 8 = 0").select("doc_id")
     got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, good).collect()}
     assert max(v for k, v in got.items() if k % 4 == 0) < 0 < min(v for k, v in got.items() if k % 4)
+
+
+def test_every_target_document_counts(spark):
+    """More of them than the 20,000 that were once counted, with repeated and null ids around them."""
+    rows = [(k, f"good{k % 3} both" if k < 30_000 else f"plain{k % 3} both") for k in range(40_000)]
+    rows += [(5, "good1 good1"), (None, "plain1 both"), (39_999, "both")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    good = spark.range(30_000).selectExpr("id AS doc_id").union(spark.createDataFrame([(None,), (7,), (70_000,)], "doc_id long"))
+    flags = lm_score.flagged(docs, good.where("doc_id IS NOT NULL").selectExpr("doc_id AS good").distinct())
+    assert {(r["target"], r["n"]) for r in flags.groupBy("target").agg(F.count("*").alias("n")).collect()} == {(1, 30_001), (0, 10_002)}
+    got = [tuple(r) for r in lm_score.score(docs, good).collect()]
+    want = plain_scores(rows, set(range(30_000)), lm_score.LEAST_COUNT)
+    for a, b in zip(ordered(got), ordered(want), strict=True):
+        assert a == pytest.approx(b, abs=1e-5)
