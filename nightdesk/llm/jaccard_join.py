@@ -10,8 +10,12 @@ itself is exact.
 
 Groups of thousands of near copies would make millions of pairs.  So the first round compares
 every long list only with its most central member, links are contracted to components, and the
-second round compares the pairs that are still in different components.  No link is lost: a
-skipped pair already lies in one component.  Equal shingle sets are one node from the start.
+second round compares the pairs that are still in different components.  No component is missed:
+a skipped pair already lies in one.  Equal shingle sets are one node from the start.
+
+Links are then counted in full.  Both ends of a link lie in one component, so each component is
+dealt into blocks of nodes, and each pair of blocks compares all its sets at once.  This grows
+with the square of a component, as the links do.
 
 Null texts and texts without words have no shingles, link with nothing and stand alone; a text
 with fewer words than a shingle is one shingle.  Repeated rows, also with a null ``doc_id``, are
@@ -39,6 +43,9 @@ SKETCH_BITS, CHUNK = 20, 4096
 BLOOM_BITS = 24
 MOST_MATCHES = 8
 LONG_LIST = 30
+#: Nodes and shingles of a block of a component, on average.
+BLOCK_NODES, BLOCK_SHINGLES = 256, 1 << 18
+COLUMNS = 4096
 #: A shingle compared in verification costs about this share of a prefix-list entry.
 COMPARE_COST = 1 / 16
 
@@ -257,10 +264,79 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     return labels
 
 
-def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def _linked(one: list[np.ndarray], two: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Which sets of the one list reach the similarity with which of the other, or of the same one if there is none."""
+    sides = [one] if two is None else [one, two]
+    sizes = [np.array([len(x) for x in side], np.int64) for side in sides]
+    names, place = np.unique(np.concatenate([x for side in sides for x in side]), return_inverse=True)
+    places = np.split(place, [sizes[0].sum()])[: len(sides)]
+    held = [np.bincount(p, minlength=len(names)) for p in places]
+    met = held[0] > 1 if two is None else (held[0] > 0) & (held[1] > 0)
+    column = np.where(met, np.cumsum(met) - 1, -1)
+    entries = []
+    for p, size in zip(places, sizes, strict=True):
+        col, row = column[p], np.repeat(np.arange(len(size)), size)
+        order = np.argsort(col, kind="stable")
+        entries.append((col[order], row[order]))
+    both = np.zeros((len(sizes[0]), len(sizes[-1])))
+    for at in range(0, int(met.sum()), COLUMNS):
+        parts = []
+        for (col, row), size in zip(entries, sizes, strict=True):
+            a, b = np.searchsorted(col, [at, at + COLUMNS])
+            parts.append(np.zeros((len(size), min(COLUMNS, int(met.sum()) - at)), np.float32))
+            parts[-1][row[a:b], col[a:b] - at] = 1
+        both += parts[0] @ parts[-1].T
+    out = 100 * both >= percent * (sizes[0][:, None] + sizes[-1][None, :] - both)
+    if two is None:
+        np.fill_diagonal(out, False)
+    return out
+
+
+def partners(labels: DataFrame, weights: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
+    """``node, partners``: the rows of all other nodes that each node with a link is similar to.
+
+    ``weights`` has ``node, n, rows``.  Components of one block share groups, the others have a
+    group for each pair of their blocks.
+    """
+    placed = written(labels.join(weights.hint("merge"), "node"), f"{folder}/members")
+    sizes = placed.groupBy("comp").agg(F.sum("n").alias("shingles"), F.count("*").alias("members"))
+    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_NODES))
+    sizes = written(sizes.select("comp", "shingles", blocks.alias("blocks")), f"{folder}/blocks")
+    lanes = (sizes.where("blocks = 1").agg(F.sum("shingles")).first()[0] or 0) // BLOCK_SHINGLES + 1
+    placed = placed.join(sizes.drop("shingles").hint("merge"), "comp")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
+    held = written(placed.join(sets.hint("merge"), "node"), f"{folder}/held")
+    lane = F.pmod(F.xxhash64("comp", F.lit("lane")), F.lit(lanes))
+    few = held.where("blocks = 1").select(lane.alias("home"), F.lit(-1).cast("long").alias("low"), F.lit(-1).cast("long").alias("high"), "comp", "block", "node", "rows", "tokens")
+    many = held.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    many = many.select(F.col("comp").alias("home"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "comp", "block", "node", "rows", "tokens")
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(part["low"].iloc[0]), int(part["high"].iloc[0])
+        tokens = [np.frombuffer(x, np.uint64) for x in part["tokens"]]
+        nodes, rows, found = part["node"].to_numpy(), part["rows"].to_numpy(), np.zeros(len(part), np.int64)
+        if low == high:
+            comp = part["comp"].to_numpy()
+            order = np.argsort(comp, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+                found[at] = _linked([tokens[k] for k in at], None, percent) @ rows[at]
+        else:
+            block = part["block"].to_numpy()
+            one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            if len(one) and len(two):
+                alike = _linked([tokens[k] for k in one], [tokens[k] for k in two], percent)
+                found[one], found[two] = alike @ rows[two], alike.T @ rows[one]
+        return pd.DataFrame({"node": nodes, "found": found})
+
+    counted = few.unionByName(many).groupBy("home", "low", "high").applyInPandas(count, "node long, found long")
+    return counted.groupBy("node").agg(F.sum("found").alias("partners"))
+
+
+def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, counted: bool = True) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, links``, and ``comp, key`` (component and text).
 
-    ``links`` counts the verified links of the row's node, which suffice to span its component.
+    ``links`` counts all other rows whose shingles reach the similarity with the row's, equal ones
+    among them; without ``counted`` it is null.
     """
     spark = docs.sparkSession
     folder = run_folder(spark, "jaccard")
@@ -300,16 +376,24 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     links = written(first.union(second), f"{folder}/links")
     labels = components(links, f"{folder}/two")
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    named = nodes.select("node", "s1", "s2", "doc_id").join(labels, "node", "left").join(degree, "node", "left")
+    named = nodes.select("node", "s1", "s2", "n", "doc_id").join(labels, "node", "left").withColumn("links", F.lit(None).cast("long"))
+    if counted:
+        copies = rows.where("n > 0").groupBy("s1", "s2").agg(F.count("*").alias("rows"))
+        weights = written(nodes.select("node", "s1", "s2", "n").join(copies.hint("merge"), ["s1", "s2"]), f"{folder}/weights")
+        sets = spark.read.schema("node long, tokens binary").parquet(f"{folder}/star-sets", f"{folder}/rest-sets").dropDuplicates(["node"])
+        weights = weights.select("node", "n", "rows")
+        met = written(partners(labels, weights, sets, percent, folder), f"{folder}/partners")
+        total = weights.join(met, "node", "left").select("node", (F.col("rows") - 1 + F.coalesce("partners", F.lit(0))).alias("links"))
+        named = named.drop("links").join(total, "node")
+    named = named.drop("n")
     named = written(named.withColumn("comp", F.coalesce("comp", "node")), f"{folder}/named")
     smallest = written(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), f"{folder}/smallest")
     named = written(named.join(smallest.hint("merge"), "comp").drop("doc_id"), f"{folder}/components")
     plain = rows.where("chunk IS NULL").withColumnRenamed("n", "n_shingles")
     found = plain.where("n_shingles > 0").join(named.hint("merge"), ["s1", "s2"])
-    found = found.select("doc_id", "n_shingles", "component_id", F.coalesce("links", F.lit(0)).alias("links"), "comp", "key")
+    found = found.select("doc_id", "n_shingles", "component_id", "links", "comp", "key")
     alone = plain.where("n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("comp"), "key"
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0 if counted else None).cast("long").alias("links"), F.lit(None).cast("long").alias("comp"), "key"
     )
     return found.unionByName(alone)
 
@@ -317,7 +401,7 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row of each component, the one with the smallest ``doc_id``, and all rows without shingles."""
     spark = docs.sparkSession
-    placed = written(groups(docs, width, percent), f"{run_folder(spark, 'jaccard')}/groups")
+    placed = written(groups(docs, width, percent, counted=False), f"{run_folder(spark, 'jaccard')}/groups")
     alike = placed.where("comp IS NOT NULL").groupBy("comp", "doc_id", "key").agg(F.count("*").alias("n"))
     best = alike.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("b"))
     alone = placed.where("comp IS NULL").select("doc_id", "key", F.lit(1).cast("long").alias("n")).distinct()

@@ -212,6 +212,34 @@ def test_components_of_a_family_that_drifts(spark, monkeypatch):
     assert ordered(got) == ordered(plain_components(rows, 4, 85)[0])
 
 
+def plain_links(rows, width, percent):
+    sets = plain_components(rows, width, percent)[2]
+    out = []
+    for i, r in enumerate(rows):
+        both = [len(sets[i] & s) for s in sets]
+        out.append((r[0], sum(j != i and b > 0 and 100 * b >= percent * (len(sets[i]) + len(s) - b) for j, (b, s) in enumerate(zip(both, sets, strict=True)))))
+    return out
+
+
+@pytest.mark.parametrize("nodes", [256, 16])
+def test_links_equal_all_pairs(spark, rough, monkeypatch, nodes):
+    """Families whose members are linked to one another, with copies, in one block or several."""
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 5)
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", nodes)
+    rng = np.random.default_rng(5)
+    rows = [(1000 + k, "five words are all here") for k in range(40)]
+    for k in range(90):
+        text = [f"f{k % 2}t{j}" for j in range(100)]
+        for at in rng.integers(0, 100, k % 4):
+            text[at] = f"n{rng.integers(0, 10_000)}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r["doc_id"], r["links"]) for r in jaccard_join.groups(docs).collect()]
+    assert ordered(got) == ordered(plain_links(rows, 4, 85)) and dict(got)[1000] == 39
+    got = [(r["doc_id"], r["links"]) for r in jaccard_join.groups(rough).collect()]
+    assert ordered(got) == ordered(plain_links(ROUGH, 4, 85))
+
+
 def test_deduplicate_near_copies(rough, empty):
     left = jaccard_join.deduplicate(rough, width=5, percent=80)
     assert left.columns == rough.columns
