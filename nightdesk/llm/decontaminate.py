@@ -104,26 +104,44 @@ class ShardSearch:
         return place, of
 
     def longest(self) -> list[tuple[int, int, int, int]]:
-        """Per item with a match in the array: item, place there, length, place in the shard."""
-        best: dict[int, tuple[int, int, int]] = {}
+        """Per item with a match in the array, every place of its longest: item, place there, length, place in the shard."""
+        out: list[tuple[int, int, int, int]] = []
         if not len(self.array):
-            return []
+            return out
         for k, item in enumerate(self.block.items):
             size = min(self.block.width, len(item))
             tails = np.zeros((len(item) - size + 1, DEPTH), ">u4")
             for at in range(len(tails)):
                 tails[at, : len(item[at : at + DEPTH])] = item[at : at + DEPTH]
-            found = np.searchsorted(self.keys, tails.view(f"S{4 * DEPTH}").ravel())
+            keys = tails.view(f"S{4 * DEPTH}").ravel()
+            found = np.searchsorted(self.keys, keys)
+            common = np.zeros(len(tails), np.int64)
             for near in (np.minimum(found, len(self.array) - 1), np.maximum(found - 1, 0)):
                 same = (self.heads[near] == tails) & (tails > 0)
-                common = np.where(same.all(axis=1), DEPTH, np.argmin(same, axis=1))
-                at = int(np.argmax(common))
-                length, place = int(common[at]), int(self.array[near[at]])
-                while length >= DEPTH and at + length < len(item) and place + length < len(self.ids) and self.ids[place + length] == item[at + length]:
-                    length += 1
-                if length >= size and length > best.get(k, (0, 0, 0))[1]:
-                    best[k] = (at, length, place)
-        return [(k, *x) for k, x in best.items()]
+                common = np.maximum(common, np.where(same.all(axis=1), DEPTH, np.argmin(same, axis=1)))
+            most, places = size, []
+            for at in np.flatnonzero(common == common.max()).tolist():
+                for length, place in self._extended(item, at, tails[at, : common[at]].tobytes()):
+                    if length >= most:
+                        places = places if length == most else []
+                        most = length
+                        places.append((at, place))
+            out += [(k, at, most, place) for at, place in places]
+        return out
+
+    def _extended(self, item: np.ndarray, at: int, head: bytes) -> list[tuple[int, int]]:
+        """Length and place of the longest matches of the item from ``at`` on, which all begin with ``head``."""
+        low = np.searchsorted(self.keys, np.array([head], f"S{4 * DEPTH}"), "left")[0]
+        high = np.searchsorted(self.keys, np.array([head.ljust(4 * DEPTH, b"\xff")], f"S{4 * DEPTH}"), "right")[0]
+        place, length = self.array[low:high], len(head) // 4
+        if at:  # what goes on to the left is part of a longer match
+            place = place[(place == 0) | (self.ids[place - 1] != item[at - 1])]
+        while length >= DEPTH and at + length < len(item):
+            on = place[self.ids[np.minimum(place + length, len(self.ids) - 1)] == item[at + length]]  # the last id is 0
+            if not len(on):
+                break
+            place, length = on, length + 1
+        return [(length, x) for x in place.tolist()]
 
 
 def test_blocks(benchmark: DataFrame, width: int, block_words: int = BLOCK_WORDS) -> Iterator[TestBlock]:
@@ -242,10 +260,13 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, b
         def work(batches: Iterator[pa.RecordBatch], block: TestBlock = block) -> Iterator[pa.RecordBatch]:
             for batch, _, starts, search in _shards(batches, block):
                 names = batch.column("doc_id").to_pylist()
-                rows = []
+                best: dict[int, tuple] = {}
                 for k, at, length, place in search.longest():
                     doc = int(np.searchsorted(starts, place, "right") - 1)
-                    rows.append((block.names[k], at, length, names[doc], place - int(starts[doc])))
+                    pos = place - int(starts[doc])
+                    one = ((names[doc] is not None, names[doc] or 0, pos, at), (block.names[k], at, length, names[doc], pos))
+                    best[k] = min(best.get(k, one), one, key=lambda x: x[0])
+                rows = [row for _, row in best.values()]
                 kinds = [pa.string(), *[pa.int64()] * 4]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in MATCH_SCHEMA.split(", ")])
@@ -313,3 +334,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(ITEMS, ",").cast("binary"), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
+
+
+@query("op1_longest_matches")
+def op1_longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longest_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

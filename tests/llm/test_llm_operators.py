@@ -115,6 +115,30 @@ def test_longest_matches(spark, rough):
     assert got == {"1": (1, 80, 6, 10), "3": (0, 2, 12, 8)}
 
 
+def test_longest_matches_beyond_the_depth_of_the_array(spark):
+    """Several places that reach the depth: the longest counts, at the first document that holds it."""
+    w = [f"w{k}" for k in range(59)]
+    docs = [(5, w[:40]), (4, w), (3, w), (6, w[:36] + ["zz"] + v) if (v := [f"v{k}" for k in range(59)][10:59]) else None, (7, ["zz"] + v[:-1]), (8, [f"v{k}" for k in range(36)])]
+    docs = [(d, " ".join(x)) for d, x in docs]
+    items = [(1, " ".join(w)), (2, " ".join(f"v{k}" for k in range(59))), (3, " ".join(w[2:20])), (4, "w1 w2")]
+    got = {r["item_id"]: tuple(r)[1:] for r in decontaminate.longest_matches(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for name, text in items:
+        item, found = words(text), []
+        for doc, body in docs:
+            body = words(body)
+            for at in range(len(item)):
+                for pos in range(len(body)):
+                    n = 0
+                    while at + n < len(item) and pos + n < len(body) and item[at + n] == body[pos + n]:
+                        n += 1
+                    if n >= min(13, len(item)):
+                        found.append((-n, doc, pos, at))
+        n, doc, pos, at = min(found)
+        want[str(name)] = (at, -n, doc, pos)
+    assert got == want and got["1"] == (0, 59, 3, 0) and got["2"][:2] == (10, 49)
+
+
 def test_windows_wider_than_the_array_is_deep(spark):
     text = " ".join(f"w{k}" for k in range(60))
     docs = spark.createDataFrame([(1, text), (2, text.replace("w39", "zz"))], "doc_id long, text string")
