@@ -7,9 +7,15 @@ model all of those labelled as good; the target is smoothed towards the backgrou
 Dirichlet prior.  The score of a document is the mean over
 its words of target loss minus background loss, in nats; lower means closer to the target.
 
-A gram's key holds its context in the upper bits and the pair in the lower ones, so the counts of
-a context lie together.  Counts travel to the reducers as sorted blocks, a row per flush and range
-of keys; their volume, the model and the rows it is joined to grow with the input.
+Words, pairs and contexts (the words before) are counted under keys of their own.  Keys are dealt
+over ranges by mixed bits, so the pairs of one frequent word lie in as many tasks as there are.  A
+pair's key names its context by ``CONTEXT_BITS`` bits; the counts of contexts are joined to the known
+pairs.  Words whose contexts share these bits (one in a hundred of 10^7 words) share one total.
+Counts travel to the reducers as sorted blocks, a row per flush and range of keys, straight through
+the shuffle; their volume, the model and the rows it is joined to grow with the input.
+
+Losses are doubles and the same whichever way they reach the documents: a vocabulary of up to
+``CARRIED`` grams is looked up in the tasks, a larger one is joined by key.
 
 Null texts and texts without words have score 0 and no words.  Repeated rows count and are scored
 one by one, whatever their ``doc_id``.  Without target documents every score is 0.
@@ -32,25 +38,27 @@ from nightdesk.llm.text import hash_words, map_arrow, mix, pieces, texts_of, wor
 
 LEAST_COUNT = 20
 PRIOR = 5.0
-CONTEXT_BITS = 24
+CONTEXT_BITS = 30
 RANGE_BITS = 12
-GROUP_GRAMS = 1_000_000
+GROUP_BYTES = 8 << 20
+ONE, TWO, BEFORE = (np.uint64(k) for k in range(3))
 FILTER_BITS = 25
 MERGE = 1 << 20
 CARRIED = 4_000_000
 ROOT = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word: its text, its unigram key and its bigram key.  Unigrams have the lowest bit 0, bigrams 1."""
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word: its text, its key, the key of its pair and the key of its context; the two lowest bits tell the kind."""
     of, words = hash_words(texts, word_table())
     before = np.empty_like(words)
     if len(words):
         before[0], before[1:] = ROOT, words[:-1]
         before[np.flatnonzero(np.diff(of, prepend=-1))] = ROOT
-    low = np.uint64(64 - CONTEXT_BITS)
-    pair = (before >> low << low) | (mix(before * np.uint64(3) + words) >> np.uint64(CONTEXT_BITS))
-    return of, words & ~np.uint64(1), pair | np.uint64(1)
+    low = np.uint64(CONTEXT_BITS + 2)
+    context = before >> np.uint64(64 - CONTEXT_BITS) << np.uint64(2)
+    pair = (mix(before * np.uint64(3) + words) >> low << low) | context | TWO
+    return of, words & ~np.uint64(3) | ONE, pair, (mix(context) >> low << low) | context | BEFORE
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -89,10 +97,10 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         for whole in batches:
             for batch in pieces(whole, "text", 1 << 20):
-                of, one, two = grams(texts_of(batch.column("text")))
+                of, *kinds = grams(texts_of(batch.column("text")))
                 target = np.asarray(batch.column("target").to_pylist(), np.uint32)[of]
-                keys = np.concatenate([one, two])
-                held.append(_summed(keys, np.stack([np.tile(target, 2), np.ones(len(keys), np.uint32)], 1)))
+                keys = np.concatenate(kinds)
+                held.append(_summed(keys, np.stack([np.tile(target, 3), np.ones(len(keys), np.uint32)], 1)))
                 size += len(held[-1][0])
                 if size > MERGE:
                     yield flush()
@@ -103,35 +111,29 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, work, "range long, keys binary, counts binary")
 
 
-def model(blocks: DataFrame) -> DataFrame:
-    """``key, two, target, every, of_target, of_every`` of each vocabulary gram, from written blocks.
+def model(blocks: DataFrame, text_bytes: int) -> DataFrame:
+    """``key, kind, target, every`` of each gram of the vocabulary and of each context of a pair in it.
 
-    The last two are the counts of a pair's context.  Per group of ranges and order, the counts of
-    all rare grams come as a row with a null key.
+    Per group of ranges and kind, the counts of all rare grams come as a row with a null key.
     """
 
     def reduce(part: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([_unpacked(x) for x in part["keys"]])
         counts = np.concatenate([np.frombuffer(x, "<u4").reshape(2, -1).T for x in part["counts"]]).astype(np.int64)
         keys, counts = _summed(keys, counts)
-        two = (keys & np.uint64(1)) == 1
-        home = np.unique(keys >> np.uint64(64 - CONTEXT_BITS), return_inverse=True)[1]
-        seen = np.stack([np.bincount(home[two], counts[two, k], minlength=home.max() + 1) for k in (0, 1)], 1)[home].astype(np.int64)
-        known = counts[:, 1] >= LEAST_COUNT
-        rare = [counts[~known & (two == flag)].sum(axis=0) for flag in (False, True)]
+        kind = (keys & np.uint64(3)).astype(np.int64)
+        known = counts[:, 1] >= LEAST_COUNT  # a context occurs as often as any of its pairs
+        rare = [counts[~known & (kind == k)].sum(axis=0) for k in range(3)]
         return pd.DataFrame({
-            "key": pd.array([*keys[known].view(np.int64).tolist(), None, None], "Int64"),
-            "two": [*two[known].tolist(), False, True],
-            "target": [*counts[known, 0].tolist(), rare[0][0], rare[1][0]],
-            "every": [*counts[known, 1].tolist(), rare[0][1], rare[1][1]],
-            "of_target": [*seen[known, 0].tolist(), 0, 0],
-            "of_every": [*seen[known, 1].tolist(), 0, 0],
+            "key": pd.array([*keys[known].view(np.int64).tolist(), None, None, None], "Int64"),
+            "kind": [*kind[known].tolist(), 0, 1, 2],
+            "target": [*counts[known, 0].tolist(), *(r[0] for r in rare)],
+            "every": [*counts[known, 1].tolist(), *(r[1] for r in rare)],
         })
 
-    size = blocks.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    wide = max(0, RANGE_BITS - max(5, math.ceil(math.log2(size / 8 / GROUP_GRAMS + 1))))  # ranges that go together
+    wide = max(0, RANGE_BITS - max(5, math.ceil(math.log2(text_bytes / GROUP_BYTES + 1))))  # ranges that go together
     grouped = blocks.withColumn("group", F.shiftright("range", wide)).groupBy("group")
-    return grouped.applyInPandas(reduce, "key long, two boolean, target long, every long, of_target long, of_every long")
+    return grouped.applyInPandas(reduce, "key long, kind int, target long, every long")
 
 
 def loss_difference(t, n, all_t, all_n):
@@ -139,24 +141,28 @@ def loss_difference(t, n, all_t, all_n):
     return F.log(n / all_n) - F.log((t + PRIOR * n / all_n) / (all_t + PRIOR))
 
 
-def vocabulary(blocks: DataFrame, folder: str) -> tuple[DataFrame, dict[bool, float], int]:
+def vocabulary(blocks: DataFrame, text_bytes: int, folder: str) -> tuple[DataFrame, dict[bool, float], int]:
     """``key, two, loss`` of the known grams, the loss of the unknown gram per order, and the target's words."""
-    counts = written(model(blocks), f"{folder}/counts")
-    sums = counts.groupBy("two").agg(
+    counts = written(model(blocks, text_bytes), f"{folder}/counts")
+    sums = counts.where("kind < 2").groupBy("kind").agg(
         F.sum("target").alias("t"), F.sum("every").alias("n"),
         F.sum(F.when(F.col("key").isNull(), F.col("target")).otherwise(0)).alias("ut"),
         F.sum(F.when(F.col("key").isNull(), F.col("every")).otherwise(0)).alias("un"),
     )
-    sums = {r["two"]: r for r in sums.collect()}  # two rows
+    sums = {r["kind"]: r for r in sums.collect()}  # two rows
     blank = {two: 0.0 for two in (False, True)}
-    for two, r in sums.items():
+    for kind, r in sums.items():
         if r["un"]:
             share = r["un"] / r["n"]
-            blank[two] = math.log(share) - math.log((r["ut"] + PRIOR * share) / (r["t"] + PRIOR))
-    all_t, all_n = (int(sums[False][c]) if False in sums else 0 for c in ("t", "n"))
-    of = [F.when(F.col("two"), F.col(f"of_{c}")).otherwise(F.lit(x)) for c, x in (("target", all_t), ("every", all_n))]
-    known = counts.where("key IS NOT NULL").select("key", "two", loss_difference(F.col("target"), F.col("every"), *of).alias("loss"))
-    return written(known, f"{folder}/vocabulary"), blank, all_t
+            blank[kind == 1] = math.log(share) - math.log((r["ut"] + PRIOR * share) / (r["t"] + PRIOR))
+    all_t, all_n = (int(sums[0][c]) if 0 in sums else 0 for c in ("t", "n"))
+    known = counts.where("key IS NOT NULL")
+    context = F.shiftright("key", 2).bitwiseAND(F.lit((1 << CONTEXT_BITS) - 1))
+    before = known.where("kind = 2").select(context.alias("of"), F.col("target").alias("of_t"), F.col("every").alias("of_n"))
+    pairs = known.where("kind = 1").withColumn("context", context).join(before.hint("merge"), F.col("context") == F.col("of"))
+    two = pairs.select("key", F.lit(True).alias("two"), loss_difference(F.col("target"), F.col("every"), F.col("of_t"), F.col("of_n")).alias("loss"))
+    one = known.where("kind = 0").select("key", F.lit(False).alias("two"), loss_difference(F.col("target"), F.col("every"), F.lit(all_t), F.lit(all_n)).alias("loss"))
+    return written(one.unionByName(two), f"{folder}/vocabulary"), blank, all_t
 
 
 def flagged(rows: DataFrame, good: DataFrame) -> DataFrame:
@@ -181,8 +187,9 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     good = target.select(F.col("doc_id").cast("long").alias("good")).where("good IS NOT NULL").distinct()
     good = written(good, f"{folder}/good")  # so the join shuffles both sides anew and a hot id can be split
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known, blank, target_words = vocabulary(written(count_grams(flagged(rows, good)), f"{folder}/blocks"), folder)
-    # A vocabulary of up to ``CARRIED`` grams (12 bytes each) goes to the tasks; beyond that it is joined.
+    text_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # decides how many groups count
+    known, blank, target_words = vocabulary(count_grams(flagged(rows, good)), text_bytes, folder)
+    # A vocabulary of up to ``CARRIED`` grams (16 bytes each) goes to the tasks; beyond that it is joined.
     summed = (_carried if known.count() <= CARRIED else _joined)(rows, known)
     unknown = (F.col("words") - F.col("n_one")) * blank[False] + (F.col("words") - F.col("n_two")) * blank[True]
     mean = F.when(F.col("words") > 0, (F.col("total") + unknown) / (2 * F.col("words"))).otherwise(0.0)
@@ -194,20 +201,20 @@ def _carried(rows: DataFrame, known: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arrays = [np.asarray(batch.column("key")).tobytes(), np.asarray(batch.column("loss")).astype(np.float32).tobytes()]
+            arrays = [np.asarray(batch.column("key")).tobytes(), np.asarray(batch.column("loss")).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in arrays], ["keys", "losses"])
 
-    # At most ``CARRIED`` grams of 12 bytes, as packed arrays rather than rows.
+    # At most ``CARRIED`` grams of 16 bytes, as packed arrays rather than rows.
     found = map_arrow(known.select("key", "loss"), pack, "keys binary, losses binary").collect()
     keys = np.frombuffer(b"".join(r["keys"] for r in found), np.uint64)
-    losses = np.frombuffer(b"".join(r["losses"] for r in found), np.float32)
+    losses = np.frombuffer(b"".join(r["losses"] for r in found), np.float64)
     order = np.argsort(keys)
     keys, losses = keys[order], losses[order]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", 1 << 20):
-                of, *orders = grams(texts_of(batch.column("text")))
+                of, *orders = grams(texts_of(batch.column("text")))[:3]
                 size = batch.num_rows
                 total, hits = np.zeros(size), []
                 for asked in orders:
@@ -235,7 +242,7 @@ def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
         wanted = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
         for whole in batches:
             for batch in pieces(whole, "text", 1 << 20):
-                of, one, two = grams(texts_of(batch.column("text")))
+                of, one, two, _ = grams(texts_of(batch.column("text")))
                 ids = np.asarray(batch.column("row").to_pylist(), np.int64)
                 words = np.bincount(of, minlength=len(ids))
                 # A row for the document itself, under a key of its own that spreads and meets nothing but by chance.

@@ -101,7 +101,7 @@ def test_scores_equal_plain_version(spark, monkeypatch, target, merge, carried):
     got = [(r["doc_id"], r["words"], round(r["score"], 9)) for r in lm_score.score(docs, good).collect()]
     assert [g[:2] for g in ordered(got)] == [g[:2] for g in ordered(plain_scores(ROUGH, target, 3))]
     for a, b in zip(ordered(got), ordered(plain_scores(ROUGH, target, 3)), strict=True):
-        assert a == pytest.approx(b, abs=1e-5)
+        assert a == pytest.approx(b, abs=1e-8)
 
 
 def test_nothing_to_score(spark):
@@ -128,4 +128,4 @@ def test_every_target_document_counts(spark):
     got = [tuple(r) for r in lm_score.score(docs, good).collect()]
     want = plain_scores(rows, set(range(30_000)), lm_score.LEAST_COUNT)
     for a, b in zip(ordered(got), ordered(want), strict=True):
-        assert a == pytest.approx(b, abs=1e-5)
+        assert a == pytest.approx(b, abs=1e-8)
