@@ -10,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from nightdesk.llm import decontaminate, exact_dedup, jaccard_join, language, packing, toxicity, url_rules, warc
+from nightdesk.llm.rows import decided, text_key
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -193,6 +194,49 @@ def test_index_is_appended_and_survives_a_repeat(spark, tmp_path):
     assert exact_dedup.DigestIndex(spark, path).entries().count() == 3
 
 
+def test_a_batch_may_run_again_in_other_partitions(spark, tmp_path):
+    """Equal rows under an equal name give equal results; other rows under it are refused."""
+    rows = [(k % 6, "same  text" if k % 2 else "other text", k) for k in range(12)] + [(None, "same text", 0), (None, "same text", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, nd_id int")
+    path, found = f"file://{tmp_path}/index", []
+    for parts in (1, 5, 3):
+        got = exact_dedup.exact_groups(docs.repartition(parts), path, "b").collect()
+        found.append(ordered(tuple(r) for r in got))
+        assert sum(r["kept"] for r in got) == 2
+        left = exact_dedup.deduplicate(docs.repartition(parts), path, "b").collect()
+        assert ordered((r["doc_id"], r["text"]) for r in left) == [(0, "other text"), (1, "same  text")]
+    assert found[0] == found[1] == found[2]
+    with pytest.raises(ValueError, match="other rows"):
+        exact_dedup.exact_groups(docs.where("doc_id = 1"), path, "b")
+    with pytest.raises(ValueError, match="needs a name"):
+        exact_dedup.deduplicate(docs, path)
+    assert exact_dedup.exact_groups(docs, path, "c").where("kept").count() == 0
+    assert exact_dedup.DigestIndex(spark, path).entries().count() == 2
+
+
+def test_two_indexes_do_not_meet(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for name in ("one", "two"):
+        assert exact_dedup.deduplicate(docs, f"file://{tmp_path}/{name}", "b").count() == 1
+
+
+def test_marked_rows_go_and_the_rest_stays(spark):
+    rows = [(k, f"text {k % 7}", k) for k in range(50)] + [(3, "text 3", 99), (3, "text 3", 98), (None, "x", 1), (None, None, 2), (5, "", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, nd_key int")
+    ids = [(4, "text 4", 0), (3, "text 3", 1), (None, "x", 0), (5, "", 1), (77, "not there", 0)]
+    marks = spark.createDataFrame(ids, "id long, text string, stay int").select("id", text_key().alias("key"), "stay")
+    got = [tuple(r) for r in decided(docs, marks).collect()]
+    want = [r for r in rows if r[:2] not in ((4, "text 4"), (3, "text 3"), (None, "x"))]
+    assert ordered(r for r in got if r[0] != 3) == ordered(r for r in want)
+    assert [r[:2] for r in got if r[0] == 3] == [(3, "text 3")] and all(r in rows for r in got)
+
+
+def test_a_tokenizer_that_joins_across_white_space_is_refused():
+    packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    with pytest.raises(ValueError, match="across white space"):
+        packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 # --- Jaccard join --------------------------------------------------------------------------------
 
 
