@@ -275,8 +275,8 @@ def severity_name(severity: Column) -> Column:
     return label(severity, vocab.SEVERITY)
 
 
-def alert_records(rows: DataFrame, spec: AlertSpec) -> DataFrame:
-    """Triggered-alert rows for the alert log."""
+def alert_records(rows: DataFrame, spec: AlertSpec, *more: Column) -> DataFrame:
+    """Triggered-alert rows for the alert log, with further columns if any."""
     return rows.select(
         F.lit(spec.name).alias("alert"),
         F.lit(spec.severity).alias("severity"),
@@ -284,6 +284,7 @@ def alert_records(rows: DataFrame, spec: AlertSpec) -> DataFrame:
         F.col("_time").alias("fired_at"),
         render(rows, spec.subject).alias("subject"),
         render(rows, spec.message).alias("message"),
+        *more,
     )
 
 

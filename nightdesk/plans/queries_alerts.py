@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -151,8 +152,7 @@ def _work_off(spark, rows, name, mode="append"):
         .trigger(availableNow=True)
         .start()
     )
-    run.awaitTermination()
-    jobs.fail_on_dropped(run)
+    jobs.fail_on_dropped(run, jobs.drop_counter(spark))
     return spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
@@ -166,6 +166,22 @@ def st03(spark, d):
     return _work_off(spark, jobs.failure_windows(_stream(spark, d), span="1 day", delay="0 seconds"), "st03")
 
 
+@query("al02_stream_brute_force_muted", f"""WITH RECURSIVE {WIN.strip()}, src AS (
+  SELECT Account_Name[2] AS k, {buckets("'1 day'")} AS t FROM win
+  WHERE EventCode = '4625' AND Account_Name[2] IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2
+  AND {buckets("'1 day'")} + INTERVAL '1 day' <= (SELECT max(_time) FROM win WHERE EventCode = '4625' AND Account_Name[2] IS NOT NULL)),
+fire AS (
+  SELECT k, min(t) AS t FROM src GROUP BY k
+  UNION ALL
+  SELECT f.k, min(s.t) AS t FROM fire f JOIN src s ON s.k = f.k AND s.t >= f.t + INTERVAL '5 days' GROUP BY f.k)
+SELECT k AS target_account, strftime(t, {MICRO}) AS _time FROM fire""")
+def al02_stream_muted(spark, d):
+    """Windows counted, then muted, as two stateful operators in a row; days instead of minutes."""
+    spec = replace(A.ALERTS["brute_force"], mute_minutes=5 * 1440)
+    rows = jobs.alert_rows(_stream(spark, d), spec, delay="0 seconds", span="1 day", min_failures=2)
+    return _work_off(spark, rows, "al02").select("target_account", "_time")
+
+
 @query("st06_stream_suppression", muted_sql(LOCKED, "locked_account", 86400))
 def st06_stream(spark, d):
     rows = stream_suppress(A.search_lockout(_stream(spark, d)), "locked_account", 86400, "0 seconds")

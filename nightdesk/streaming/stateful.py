@@ -13,7 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from nightdesk.functions.chunked import micros
 
-_OUTPUT = "key string, t bigint, payload string"
+_OUTPUT = "key string, t bigint, payload string, late boolean"
+_COLUMNS = ["key", "t", "payload", "late"]
 SLOT = 60 * 1_000_000
 
 
@@ -24,8 +25,9 @@ class OrderedFold(StatefulProcessor):
     in any order; the output equals that of the batch operator.  ``advance``
     maps (state, t) to (state, emit).  ``settled`` tells whether a buffered row
     can no longer change anything, so hot keys do not pile up in the state.
-    Rows wait in slots of a minute; a timer reads and rewrites one slot at a
-    time, never all that a key has pending.
+    Rows wait in slots of a minute; a timer names its slot, which alone is read.
+    A row older than one of its key that is already folded comes too late to be
+    put in order: it is handed out at once, marked ``late``, and changes nothing.
     """
 
     def __init__(self, advance: Callable, settled: Callable, initial):
@@ -34,6 +36,7 @@ class OrderedFold(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.value = handle.getValueState("state", "v string")
+        self.through = handle.getValueState("through", "t bigint")
         self.pending = handle.getMapState("pending", "slot bigint", "rows string")
 
     def _state(self):
@@ -47,45 +50,58 @@ class OrderedFold(StatefulProcessor):
         self.handle.registerTimer(min(t for t, _ in rows) // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark, state = timerValues.getCurrentWatermarkInMs() * 1000, self._state()
+        state, through = self._state(), self.through.get()[0] if self.through.exists() else None
         for pdf in rows:
-            slots = defaultdict(list)
+            slots, late = defaultdict(list), []
             for t, payload in zip(pdf["t"].tolist(), pdf["payload"].tolist()):
-                if t >= watermark and not self.settled(state, t):
+                if through is not None and t < through:
+                    late.append((key[0], t, payload, True))
+                elif not self.settled(state, t):
                     slots[t // SLOT].append([t, payload])
             for slot, new in slots.items():
                 held = json.loads(self.pending.getValue((slot,))[0]) if self.pending.containsKey((slot,)) else []
                 self._put(slot, held + new)
-        return iter([])
+            if late:
+                yield pd.DataFrame(late, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark, state = timerValues.getCurrentWatermarkInMs(), self._state()
-        for slot in sorted(k[0] for k in self.pending.keys() if k[0] * SLOT // 1000 <= watermark):
-            rows, out = sorted(json.loads(self.pending.getValue((slot,))[0])), []
-            for t, payload in (r for r in rows if r[0] // 1000 <= watermark):
-                state, emit = self.advance(state, t)
-                if emit:
-                    out.append((key[0], t, payload))
-            later = [r for r in rows if r[0] // 1000 > watermark and not self.settled(state, r[0])]
-            if later:
-                self._put(slot, later)
-            else:
-                self.pending.removeKey((slot,))
+        slot = expiredTimerInfo.getExpiryTimeInMs() * 1000 // SLOT
+        if not self.pending.containsKey((slot,)):  # an earlier timer of the slot has emptied it
+            return
+        rows, out = sorted(json.loads(self.pending.getValue((slot,))[0])), []
+        due = [r for r in rows if r[0] // 1000 <= watermark]
+        for t, payload in due:
+            state, emit = self.advance(state, t)
+            if emit:
+                out.append((key[0], t, payload, False))
+        later = [r for r in rows if r[0] // 1000 > watermark and not self.settled(state, r[0])]
+        if later:
+            self._put(slot, later)
+        else:
+            self.pending.removeKey((slot,))
+        if due:
             self.value.update((json.dumps(state),))
-            if out:
-                yield pd.DataFrame(out, columns=["key", "t", "payload"])
+            self.through.update((due[-1][0],))
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
 def stream_suppress(
-    alerts: DataFrame, key: str, period: int, delay: str, time: str = "_time", fired: DataFrame | None = None
+    alerts: DataFrame, key: str, period: int, delay: str | None, time: str = "_time", fired: DataFrame | None = None,
+    late: bool = False, event: str | None = None,
 ) -> DataFrame:
     """Streaming twin of :func:`nightdesk.operators.suppression.suppress`.
 
     ``fired`` holds earlier firings (the key and time columns), for a stream
-    that goes on where a batch run over history ended.
+    that goes on where a batch run over history ended.  ``late`` adds the rows
+    that came too late to be put in order, told by a column ``late``; without it
+    they are left out.  For rows that are themselves results of a watermarked
+    aggregate, ``delay`` is None and ``event`` names the column that carries the
+    aggregate's event time; ``time`` still decides order and distance.
     """
     span = int(period) * 1_000_000
     if span <= 0:
@@ -95,27 +111,30 @@ def stream_suppress(
         return (t, True) if last is None or t - last >= span else (last, False)
 
     def settled(last, t):
-        return last is not None and t - last < span
+        return last is not None and 0 <= t - last < span
 
-    payload = F.to_json(F.struct(*alerts.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
-    shaped = alerts.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(
-        F.col(time).alias("_time"), F.col(key).cast("string").alias("key"), micros(time).alias("t"),
+    columns = [c for c in alerts.columns if c != event]
+    payload = F.to_json(F.struct(*columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    rows = alerts.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+    shaped = rows.select(
+        F.col(event or time).alias("_event"), F.col(key).cast("string").alias("key"), micros(time).alias("t"),
         payload.alias("payload"),
     )
+    if delay is not None:
+        # Without the column itself, no row is dropped behind the watermark: the fold tells the late ones.
+        shaped = shaped.withWatermark("_event", delay).select("key", "t", "payload")
     seed = None
     if fired is not None:
         seed = fired.groupBy(F.col(key).cast("string").alias("key")).agg(F.max(micros(time)).alias("t")).groupBy("key")
-    folded = (
-        shaped.withWatermark("_time", delay)
-        .groupBy("key")
-        .transformWithStateInPandas(
-            statefulProcessor=OrderedFold(advance, settled, None),
-            outputStructType=_OUTPUT,
-            outputMode="Append",
-            timeMode="EventTime",
-            initialState=seed,
-        )
+    folded = shaped.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=OrderedFold(advance, settled, None),
+        outputStructType=_OUTPUT,
+        outputMode="Append",
+        timeMode="EventTime",
+        initialState=seed,
     )
-    return folded.select(
-        F.from_json("payload", alerts.schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("row")
-    ).select("row.*")
+    schema = alerts.select(*columns).schema
+    row = F.from_json("payload", schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("row")
+    if late:
+        return folded.select(row, "late").select("row.*", "late")
+    return folded.filter(~F.col("late")).select(row).select("row.*")

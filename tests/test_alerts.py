@@ -185,11 +185,3 @@ def test_stream_goes_on_from_a_batch_run(spark, tmp_path):
     assert times == ["10:05:00"]
     with pytest.raises(ValueError):
         stream_suppress(stream, "locked_account", 0, "1 minute")
-
-
-def test_dropped_rows_fail_the_run():
-    class Run:
-        recentProgress = [{"stateOperators": []}, {"stateOperators": [{"numRowsDroppedByWatermark": 3}]}]
-
-    with pytest.raises(RuntimeError, match="3 rows"):
-        jobs.fail_on_dropped(Run())
