@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightdesk import vocab
@@ -13,13 +13,14 @@ from nightdesk.functions.timerange import as_datetime
 def memberships(users: DataFrame, groups: DataFrame) -> DataFrame:
     """Distinct (sam, group) pairs from the users' group lists.
 
+    Names compare without case and come back as the catalogue spells them.
     ``status`` is ``OK``, or ``WARN`` where the group is not in the catalogue.
     """
     pairs = users.select("sam", F.explode("groups").alias("group")).distinct()
-    known = groups.select(F.col("name").alias("group"), F.lit("OK").alias("_known")).distinct()
-    return left_lookup(pairs, "group", known.withColumnRenamed("group", "_name"), "_name").select(
-        "sam", "group", F.coalesce("_known", F.lit("WARN")).alias("status")
-    )
+    known = groups.groupBy(F.lower("name").alias("_name")).agg(F.min("name").alias("_known"))
+    found = left_lookup(pairs.withColumn("_lower", F.lower("group")), "_lower", known, "_name")
+    status = F.when(F.col("_known").isNull(), F.lit("WARN")).otherwise(F.lit("OK")).alias("status")
+    return found.select("sam", F.coalesce("_known", "group").alias("group"), status).distinct()
 
 
 def status_text(with_expired: bool = True, separator: str = ", ") -> Column:
@@ -36,8 +37,8 @@ def status_text(with_expired: bool = True, separator: str = ", ") -> Column:
 
 def user_summary(users: DataFrame) -> DataFrame:
     """Account summary with manager name, status and dates as text."""
-    managers = users.select(F.col("sam").alias("_sam"), F.col("name").alias("_name"))
-    joined = users.join(managers, F.col("manager") == F.col("_sam"), "left")
+    managers = users.groupBy(F.col("sam").alias("_sam")).agg(F.min("name").alias("_name"))
+    joined = left_lookup(users, "manager", managers, "_sam")
     or_na = {c: F.coalesce(F.col(c), F.lit("N/A")) for c in ("dept", "title", "mail")}
     return joined.select(
         F.col("name").alias("display_name"),
@@ -76,8 +77,8 @@ def list_groups(groups: DataFrame, pairs: DataFrame, like: str = "GRP-") -> Data
 
 
 def reporting_lines(users: DataFrame) -> DataFrame:
-    """(sam, manager) pairs whose manager exists."""
-    people = users.select(F.col("sam").alias("manager"), F.col("name").alias("manager_name"))
+    """(sam, manager) pairs whose manager exists; an account listed twice counts once as a manager."""
+    people = users.groupBy(F.col("sam").alias("manager")).agg(F.min("name").alias("manager_name"))
     return users.select("sam", "manager").join(people, "manager").select("sam", "manager", "manager_name")
 
 
@@ -101,48 +102,62 @@ def inventory_failures(checks: DataFrame) -> DataFrame:
     )
 
 
+#: Names that one task compares with the texts of one piece, on average; a piece of more names is split.
+PIECE_NAMES = 10_000
+
+
 def _grams(text: Column, n: int) -> Column:
-    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
+    """Structs of the pieces of ``n`` letters and where they begin, from 1 on."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(F.substr(text, i, F.lit(n)).alias("gram"), i.alias("pos")))
 
 
-def suggest_groups(wanted: DataFrame, groups: DataFrame) -> DataFrame:
-    """Groups whose name contains each ``wanted`` text, without case.
+def suggest_groups(wanted: DataFrame, groups: DataFrame, limit: int | None = None) -> DataFrame:
+    """Groups whose name contains each ``wanted`` text, without case; the first ``limit`` by name if given.
 
-    Instead of comparing every text with every name, both sides are indexed by
-    short substrings: a text is matched through its rarest three-letter piece
-    (or itself when shorter), and the candidates are then checked exactly.
+    Instead of comparing every text with every name, names are indexed by their short pieces and
+    where these stand.  A text is matched through its rarest three-letter piece (or itself when
+    shorter): the name must hold the text where the piece says.  Pieces of many names are split over
+    salts on the index side, and their texts are sent to every salt.
     """
     names = groups.select("name", F.lower("name").alias("_n")).distinct()
-    pieces = F.flatten(F.array(*[F.coalesce(_grams(F.col("_n"), n), F.array().cast("array<string>")) for n in (1, 2, 3)]))
-    index = names.select("name", "_n", F.explode(pieces).alias("gram"))
+    pieces = F.flatten(F.array(*[_grams(F.col("_n"), n) for n in (1, 2, 3)]))
+    index = names.select("name", "_n", F.explode(pieces).alias("piece")).select("name", "_n", "piece.*")
     freq = index.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
     texts = wanted.select("wanted", F.lower("wanted").alias("_w")).filter(F.length("_w") > 0).distinct()
-    own = F.when(F.length("_w") < 3, F.array("_w")).otherwise(_grams(F.col("_w"), 3))
+    own = F.when(F.length("_w") < 3, F.array(F.struct(F.col("_w").alias("gram"), F.lit(1).alias("pos")))).otherwise(_grams(F.col("_w"), 3))
+    parts = F.ceil(F.col("freq") / PIECE_NAMES).cast("int")
     rarest = (
-        texts.select("wanted", "_w", F.explode(own).alias("gram"))
-        .join(freq, "gram", "left")
+        texts.select("wanted", "_w", F.explode(own).alias("piece"))
+        .join(freq.select(F.col("gram").alias("_g"), "freq"), F.col("piece.gram") == F.col("_g"))
         .groupBy("wanted", "_w")
-        .agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram")).alias("pick"))
-        .filter(F.col("pick.freq") > 0)
-        .select("wanted", "_w", F.col("pick.gram").alias("gram"))
+        .agg(F.min(F.struct("freq", "piece")).alias("pick"), F.count(F.lit(1)).alias("_found"), F.min("freq").alias("freq"))
+        .filter(F.col("_found") == F.when(F.length("_w") < 3, 1).otherwise(F.length("_w") - 2))  # a piece in no name: no match
+        .select("wanted", "_w", F.col("pick.piece.gram").alias("gram"), F.col("pick.piece.pos").alias("_at"),
+                F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
     )
-    return (
-        rarest.join(index, "gram")
-        .filter(F.col("_n").contains(F.col("_w")))
-        .groupBy("wanted")
-        .agg(F.sort_array(F.collect_set("name")).alias("suggestions"))
+    hot = freq.filter(F.col("freq") > PIECE_NAMES).select(F.col("gram").alias("_g"), parts.alias("_parts"))
+    salted = left_lookup(index, "gram", hot, "_g").withColumn(
+        "salt", F.pmod(F.xxhash64("name"), F.coalesce("_parts", F.lit(1))).cast("int")
     )
+    start = F.col("pos") - F.col("_at") + 1
+    held = (start >= 1) & (F.substr("_n", start, F.length("_w")) == F.col("_w"))
+    found = rarest.join(salted, ["gram", "salt"]).filter(held).select("wanted", "name").distinct()
+    if limit is not None:
+        by_name = Window.partitionBy("wanted").orderBy("name")
+        found = found.withColumn("_k", F.row_number().over(by_name)).filter(F.col("_k") <= limit)
+    return found.groupBy("wanted").agg(F.sort_array(F.collect_list("name")).alias("suggestions"))
 
 
 def plan_group_changes(
-    requests: DataFrame, users: DataFrame, groups: DataFrame, pairs: DataFrame
+    requests: DataFrame, users: DataFrame, groups: DataFrame, pairs: DataFrame, suggestions: int | None = None
 ) -> DataFrame:
     """Decision per request (request_id, sam, group, action Add/Remove).
 
     Names compare without case and come back as the directory spells them.  A missing group fails with suggestions, adding
     a member or removing a non-member is skipped, anything else succeeds;
-    removals from privileged groups carry a warning flag.
+    removals from privileged groups carry a warning flag.  ``suggestions``
+    limits the names that are suggested per group.
     """
     catalogue = groups.groupBy(F.lower("name").alias("_g")).agg(F.min("name").alias("group_name"))
     accounts = users.groupBy(F.lower("sam").alias("_s")).agg(F.min("sam").alias("user_name"))
@@ -156,7 +171,7 @@ def plan_group_changes(
     missing = requests.select(F.col("group").alias("wanted")).distinct().join(
         catalogue, F.lower("wanted") == F.col("_g"), "left_anti"
     )
-    hints = suggest_groups(missing, groups)
+    hints = suggest_groups(missing, groups, suggestions)
     add = F.col("action") == "Add"
     member_now = F.coalesce("is_member", F.lit(False))
     result = (

@@ -132,17 +132,15 @@ def password_spray(
         .agg(
             F.count("target_account").alias("accounts_targeted"),
             F.sum("n").alias("total_attempts"),
+            # One entry per account: attempts have collapsed to one row each before.
+            distinct_values("target_account").alias("accounts"),
         )
         .filter(
             (F.col("accounts_targeted") >= min_accounts)
             & (F.col("total_attempts") <= F.col("accounts_targeted") * max_ratio)
         )
     )
-    # Lists only for the few windows that are left, not for every address.
-    named = per_target.join(found, ["_window", "source_ip"]).groupBy(*found.columns).agg(
-        distinct_values("target_account").alias("accounts")
-    )
-    out = named.select(
+    out = found.select(
         "source_ip",
         "accounts_targeted",
         "total_attempts",

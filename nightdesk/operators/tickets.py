@@ -101,10 +101,6 @@ def build_tickets(
     rows = first_per_key(requests, ["number"], ["created"])
     if existing is not None:
         rows = rows.join(existing.select("number"), "number", "left_anti")
-    # The texts stay out of the lookups and come back by number at the end.
-    long = ["subject", "body", "reply"]
-    texts = rows.select(F.col("number").alias("_number"), *long)
-    rows = rows.drop(*long)
     mails = dims["user_email"].groupBy(F.col("address").alias("_address")).agg(
         F.min(F.struct("id", "user_id")).alias("_mail")
     )
@@ -127,7 +123,6 @@ def build_tickets(
         rows = resolve(rows, dims["sla"], "sla_name", "name", "grace_period", "grace_period", 8)
         hours = F.col("grace_period")
     created = F.col("created")
-    rows = rows.join(texts, F.col("number").eqNullSafe(F.col("_number")))
     return rows.select(
         F.col("number").alias("ticket_id"),
         "number",
@@ -221,19 +216,19 @@ def ticket_report(
     """Ticket list with requester, agent, department and status, by number.
 
     ``cdata`` holds the subjects of stored tickets; pass None for tickets that
-    still carry theirs, which saves the join.  ``short`` cuts the subject to 45 characters and leaves out department and date.
+    still carry theirs, which saves the join.  Dimensions are reduced to one row per key, so no
+    ticket is listed twice.  ``short`` cuts the subject to 45 characters and leaves out department and date.
     """
-    users = dims["user"].select(F.col("id").alias("user_id"), F.col("name").alias("requester"))
-    depts = dims["department"].select(F.col("id").alias("dept_id"), F.col("name").alias("department"))
-    status = dims["ticket_status"].select(F.col("id").alias("status_id"), F.col("name").alias("status"))
-    staff = dims["staff"].select(
-        "staff_id", F.concat("firstname", F.lit(" "), "lastname").alias("agent")
-    )
+    users = dims["user"].groupBy(F.col("id").alias("user_id")).agg(F.min("name").alias("requester"))
+    depts = dims["department"].groupBy(F.col("id").alias("dept_id")).agg(F.min("name").alias("department"))
+    status = dims["ticket_status"].groupBy(F.col("id").alias("status_id")).agg(F.min("name").alias("status"))
+    staff = dims["staff"].groupBy("staff_id").agg(F.min(F.concat("firstname", F.lit(" "), "lastname")).alias("agent"))
     columns = ["number", "user_id", "dept_id", "status_id", "staff_id", "created"]
     if cdata is None:
         titled = tickets.select(*columns, "subject")
     else:
-        titled = tickets.select("ticket_id", *columns).join(cdata.select("ticket_id", "subject"), "ticket_id")
+        subjects = cdata.groupBy("ticket_id").agg(F.min("subject").alias("subject"))
+        titled = tickets.select("ticket_id", *columns).join(subjects, "ticket_id")
     rows = (
         titled.join(users, "user_id")
         .join(status, "status_id")
@@ -324,7 +319,7 @@ def visible_counts(tickets: DataFrame, staff: DataFrame, network_dept: int | Non
     per_desk = tickets.groupBy("dept_id").agg(F.count(F.lit(1)).alias("desk_total"))
     per_agent = tickets.groupBy("staff_id").agg(F.count(F.lit(1)).alias("own_total"))
     total = tickets.agg(F.count(F.lit(1))).scalar()
-    people = staff.select("staff_id", "username", "dept_id", "isadmin")
+    people = first_per_key(staff.select("staff_id", "username", "dept_id", "isadmin"), ["staff_id"])
     return (
         people.join(per_desk, "dept_id", "left")
         .join(per_agent, "staff_id", "left")

@@ -371,6 +371,24 @@ def ad_users(spark: SparkSession, sf_dir: str, with_groups: bool = False) -> Dat
     return users.join(lists, "sam", "left")
 
 
+def ad_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organisational units: one per market segment, with the number of its customers as description."""
+    held = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    return held.select(
+        F.col("c_mktsegment").alias("name"), F.lit("OU=CorpUsers,DC=example,DC=test").alias("path"),
+        F.concat(F.col("n").cast("string"), F.lit(" people")).alias("desc"),
+    )
+
+
+def ad_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies: one per nation, linked to its region's unit."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.concat(F.lit("GPO-"), "n_name").alias("name"), F.concat(F.lit("OU="), "r_name").alias("linked_to"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.lit("Computer")).otherwise(F.lit("User")).alias("scope"),
+    )
+
+
 def group_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group-change requests from orders: some name no group, some only a part of one."""
     orders = table(spark, sf_dir, "orders")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from nightdesk.functions import scalars as S
 from nightdesk.operators import directory as D
 from nightdesk.operators import tickets as T
 from nightdesk.plans import bridge
-from nightdesk.plans.registry import MICRO, query, with_
+from nightdesk.plans.procedures import register_procedures
+from nightdesk.plans.registry import MICRO, ORACLE, query, with_
+from nightdesk.session import shared_folder
 
 # --- SQL views ------------------------------------------------------------------------------
 
@@ -165,6 +169,29 @@ def tk08(spark, d):
     return T.config_listing(dims["sla"], dims["department"], dims["help_topic"])
 
 
+@query("v02_upsert_user_call", """SELECT lower(c_name) || '@example.test' AS id, c_name AS name FROM customer
+  UNION ALL SELECT lower(s_name) || '@example.test', s_name FROM supplier""")
+def v02(spark, d):
+    """The procedure called in SQL for suppliers and for customers, whose addresses are known."""
+    dims = bridge.ticket_dims(spark, d)
+    register_procedures(spark, dims, bridge.NOW)
+    bridge.table(spark, d, "customer").selectExpr("'already known' AS name", "lower(c_name) || '@example.test' AS mail").unionByName(
+        dims["staff"].select(F.col("username").alias("name"), F.col("email").alias("mail"))
+    ).createOrReplaceTempView("desk_people")
+    dims["user"].createOrReplaceTempView("desk_user")
+    return spark.sql("SELECT id, name FROM desk_user UNION ALL SELECT u.id, u.name FROM desk_people p, LATERAL upsert_user(p.name, p.mail) u")
+
+
+@query("v03_seed_ticket_call", ORACLE["tk03_build_tickets"])
+def v03(spark, d):
+    """The procedure called in SQL for every request."""
+    register_procedures(spark, bridge.ticket_dims(spark, d), bridge.NOW, bridge.known_tickets(spark, d))
+    bridge.ticket_requests(spark, d).createOrReplaceTempView("desk_requests")
+    columns = ", ".join(f"t.{c}" for c in T.TICKET_COLUMNS)
+    return spark.sql(f"""SELECT {columns} FROM desk_requests r, LATERAL seed_ticket(r.number, r.subject, r.body, r.user_email, r.dept_name,
+      r.topic_name, r.sla_name, int(r.priority), r.status, r.source, r.created, r.agent_user, r.reply) t""")
+
+
 def queue_query(name, where, sql_where, **options):
     @query(name, TK + f"SELECT number, mail AS user_id, staff_id FROM tk WHERE o_orderstatus = 'O' AND {sql_where}")
     def run(spark, d):
@@ -346,11 +373,17 @@ def dr06(spark, d):
     return D.reporting_lines(bridge.ad_users(spark, d))
 
 
+def stored(spark, df, name):
+    """The same rows from a written table, for inputs that several branches of a plan read."""
+    path = shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def decisions(spark, d):
-    return D.plan_group_changes(
-        bridge.group_requests(spark, d), bridge.ad_users(spark, d), bridge.ad_groups(spark, d),
-        bridge.ad_memberships(spark, d),
-    )
+    groups = stored(spark, bridge.ad_groups(spark, d), "groups")
+    requests = stored(spark, bridge.group_requests(spark, d), "requests")
+    return D.plan_group_changes(requests, bridge.ad_users(spark, d).select("sam"), groups, bridge.ad_memberships(spark, d))
 
 
 @query("dr07_plan_group_changes", DR + """SELECT request_id, sam, grp AS "group", action, result,

@@ -6,22 +6,28 @@ Writing takes place when a query is built; each run has a folder of its own.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightdesk import schemas, vocab
 from nightdesk.operators import directory as D
+from nightdesk.operators import tickets as T
 from nightdesk.plans import alerts as A
 from nightdesk.plans import bridge
 from nightdesk.plans.bridge import win_event
 from nightdesk.plans.queries_alerts import CREATED, muted_sql
-from nightdesk.plans.queries_desk import DIR
+from nightdesk.plans.queries_desk import DIR, TK, build
 from nightdesk.plans.registry import MICRO, SECOND, WEB, WIN, query, with_
 from nightdesk.session import shared_folder
 from nightdesk.sources import events as E
 from nightdesk.sources import logs as L
 from nightdesk.sources import sinks as K
 from nightdesk.sources import tables as S
+from nightdesk.sources.catalog import catalog_from_stats, refresh_stats
+from nightdesk.sources.formats import register_formats
+from nightdesk.sources.keyed import KeyedTable
 from nightdesk.streaming import jobs
 
 W = with_(WIN)
@@ -61,6 +67,18 @@ def s06_app(spark, d):
     return by_code(E.application_events(spark, store(spark, d, vocab.APPLICATION_SOURCETYPE)))
 
 
+@query("s13_catalog_from_stats", W + f"SELECT CASE WHEN event_id % 2 = 0 THEN '{vocab.SECURITY_SOURCETYPE}' ELSE '{vocab.SYSTEM_SOURCETYPE}' END AS sourcetype, count(*) AS total, strftime(min(_time), {MICRO}) AS first_time, strftime(max(_time), {MICRO}) AS last_time FROM win GROUP BY 1")
+def s13_stats(spark, d):
+    """Two source types; the second load of one comes after the statistics and is read anew."""
+    path, rows = folder(spark, "store"), bridge.raw_events(spark, d)
+    even = bridge.win_event_columns(rows.filter("event_id % 2 = 0"))
+    odd = bridge.win_event_columns(rows.filter("event_id % 2 = 1")).withColumn("sourcetype", F.lit(vocab.SYSTEM_SOURCETYPE))
+    E.write_events(even.unionByName(odd.filter("Logon_Type = '3'")), path)
+    refresh_stats(spark, path)
+    E.write_events(odd.filter("Logon_Type <> '3' OR Logon_Type IS NULL"), path)
+    return catalog_from_stats(spark, path)
+
+
 def text(lines, path):
     lines.select("value").write.text(path)
     return path
@@ -113,6 +131,24 @@ def s10(spark, d):
     return audit_summary(L.read_helpdesk_log(spark, base))
 
 
+@query("s02_access_format", with_(WEB) + "SELECT client_ip, status, count(*) AS n, sum(TRY_CAST(bytes AS BIGINT)) AS sent FROM web GROUP BY 1, 2")
+def s02_format(spark, d):
+    """The access log by its format."""
+    register_formats(spark)
+    log = spark.read.format("nightdesk_access").load(text(bridge.access_lines(spark, d), folder(spark, "access")))
+    return log.groupBy("client_ip", "status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bytes").try_cast("bigint")).alias("sent"))
+
+
+@query("s10_helpdesk_format", AUDIT)
+def s10_format(spark, d):
+    """The helpdesk log by its format, in SQL."""
+    register_formats(spark)
+    path = folder(spark, "helpdesk")
+    K.append_audit(bridge.audit_lines(spark, d), path)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW nightdesk_helpdesk_lines USING nightdesk_helpdesk OPTIONS (path '{path}')")
+    return spark.sql("SELECT level, agent, count(*) AS n, count(ticket) AS with_ticket FROM nightdesk_helpdesk_lines GROUP BY level, agent")
+
+
 @query("k03_audit_lines", "SELECT '[' || strftime(ts, {s}) || '][OK]' || CASE WHEN event_id % 2 = 0 THEN ' [TKT:' || event_id::VARCHAR || ']' ELSE '' END || ' [agent1] ' || event_type AS value FROM events".format(s=SECOND))
 def k03(spark, d):
     e = bridge.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -128,28 +164,74 @@ def shaped(rows, kinds):
     return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds])
 
 
-@query("s07_ticket_tables", "SELECT 'sla' AS name, count(DISTINCT o_orderpriority) AS n FROM orders UNION ALL SELECT 'user', count(*) FROM customer")
+LISTED = {
+    "ticket": ("number", ["user_id", "status_id", "dept_id", "topic_id", "staff_id", "source"]),
+    "ticket_cdata": ("ticket_id", ["subject"]),
+    "thread": ("thread_id", ["object_id", "object_type"]),
+    "thread_entry": ("thread_id", ["type", "staff_id", "title", "body", "poster"]),
+    "sla": ("id", ["name", "grace_period"]),
+    "department": ("id", ["name", "sla_id"]),
+    "help_topic": ("topic_id", ["topic"]),
+    "staff": ("staff_id", ["username", "lastname", "dept_id", "isadmin"]),
+    "user": ("id", ["name", "default_email_id"]),
+    "user_email": ("id", ["user_id", "address"]),
+    "ticket_status": ("id", ["name"]),
+}
+
+
+def listed(name, rows):
+    """``tbl, id, detail`` of the rows of one table."""
+    key, columns = LISTED[name]
+    return rows.select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("id"), F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).alias("detail"))
+
+
+@query("s07_ticket_tables", TK + """SELECT 'ticket' AS tbl, number AS id, concat_ws('|', mail, status_id, (r_regionkey + 1)::INTEGER, length(c_mktsegment), staff_id, source) AS detail FROM tk
+  UNION ALL SELECT 'ticket_cdata', number, subject FROM tk
+  UNION ALL SELECT 'thread', number, number || '|T' FROM tk
+  UNION ALL SELECT 'thread_entry', number, concat_ws('|', 'M', 0, subject, body, c_name) FROM tk
+  UNION ALL SELECT 'thread_entry', number, concat_ws('|', 'R', staff_id, 'Re: ' || subject, reply, 'Agent ' || substr(s_name, 10, 12)) FROM tk WHERE reply IS NOT NULL AND staff_id > 0
+  UNION ALL SELECT DISTINCT 'sla', substr(o_orderpriority, 1, 1), concat_ws('|', o_orderpriority, substr(o_orderpriority, 1, 1)::INTEGER * 4) FROM orders
+  UNION ALL SELECT 'department', (r_regionkey + 1)::VARCHAR, r_name || '|1' FROM region
+  UNION ALL SELECT DISTINCT 'help_topic', length(c_mktsegment)::VARCHAR, c_mktsegment FROM customer
+  UNION ALL SELECT 'staff', (s_suppkey + 1)::VARCHAR, concat_ws('|', s_name, substr(s_name, 10, 12), s_suppkey % 5 + 1, CASE WHEN s_suppkey % 7 = 0 THEN 1 ELSE 0 END) FROM supplier
+  UNION ALL SELECT 'user', lower(c_name) || '@example.test', c_name || '|' || lower(c_name) || '@example.test' FROM customer
+  UNION ALL SELECT 'user_email', lower(c_name) || '@example.test', lower(c_name) || '@example.test|' || lower(c_name) || '@example.test' FROM customer
+  UNION ALL SELECT DISTINCT 'ticket_status', (CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END)::VARCHAR, CASE o_orderstatus WHEN 'O' THEN 'Open' WHEN 'P' THEN 'Resolved' ELSE 'Closed' END FROM orders""")
 def s07(spark, d):
-    """K4 and S7: the dimension tables as files, read by their fixed schemas."""
-    dims, path = bridge.ticket_dims(spark, d), folder(spark, "tickets")
-    kinds = {name: spark.createDataFrame([], schemas.TICKET_TABLES[name]).dtypes for name in ("sla", "user")}
-    K.write_ticket_tables({n: shaped(dims[n], kind) for n, kind in kinds.items()}, path)
-    found = [S.read_ticket_table(spark, path, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in kinds]
-    return found[0].unionByName(found[1])
-
-
-@query("s08_directory", with_(DIR) + "SELECT dept, enabled, count(*) AS users, (SELECT count(*) FROM grps) AS groups FROM usr GROUP BY 1, 2")
+    """K4 and S7: all eleven tables as files, read by their fixed schemas, row by row."""
+    tickets, dims = build(spark, d)
+    path = folder(spark, "tickets")
+    tables = dims | {
+        "ticket": tickets, "ticket_cdata": T.build_cdata(tickets), "thread": T.build_threads(tickets),
+        "thread_entry": T.build_entries(tickets, dims["user"], dims["staff"]),
+    }
+    kinds = {name: spark.createDataFrame([], schema).dtypes for name, schema in schemas.TICKET_TABLES.items()}
+    K.write_ticket_tables({n: shaped(tables[n], kind) for n, kind in kinds.items()}, path)
+    found = [listed(n, rows) for n, rows in S.read_ticket_tables(spark, path).items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("s08_directory", with_(DIR) + """SELECT 'user' AS kind, sam AS name, concat_ws('|', coalesce(dept, '-'), CASE WHEN enabled THEN 'true' ELSE 'false' END) AS detail FROM usr
+  UNION ALL SELECT 'group', name, 'OU=CorpUsers,DC=example,DC=test' FROM grps
+  UNION ALL SELECT 'ou', c_mktsegment, count(*)::VARCHAR || ' people' FROM customer GROUP BY c_mktsegment
+  UNION ALL SELECT 'gpo', 'GPO-' || n_name, 'OU=' || r_name || '|' || CASE WHEN n_nationkey % 2 = 0 THEN 'Computer' ELSE 'User' END
+    FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def s08(spark, d):
     base = folder(spark, "directory")
     shapes = {"user": schemas.AD_USER, "group": schemas.AD_GROUP, "ou": schemas.AD_OU, "gpo": schemas.GPO}
-    found = {"user": bridge.ad_users(spark, d), "group": bridge.ad_groups(spark, d)}
+    found = {
+        "user": bridge.ad_users(spark, d), "group": bridge.ad_groups(spark, d), "ou": bridge.ad_units(spark, d),
+        "gpo": bridge.ad_policies(spark, d),
+    }
     for name, schema in shapes.items():
-        kinds = spark.createDataFrame([], schema).dtypes
-        rows = found.get(name, bridge.ad_groups(spark, d))
-        shaped(rows, kinds).write.parquet(f"{base}/{name}")
+        shaped(found[name], spark.createDataFrame([], schema).dtypes).write.parquet(f"{base}/{name}")
     read = S.read_directory(spark, base)
-    total = read["group"].agg(F.count(F.lit(1))).scalar()
-    return read["user"].groupBy("dept", "enabled").agg(F.count(F.lit(1)).alias("users")).withColumn("groups", total)
+    detail = {
+        "user": ("sam", F.concat_ws("|", F.coalesce("dept", F.lit("-")), F.col("enabled").cast("string"))),
+        "group": ("name", F.col("path")), "ou": ("name", F.col("desc")), "gpo": ("name", F.concat_ws("|", "linked_to", "scope")),
+    }
+    parts = [read[k].select(F.lit(k).alias("kind"), F.col(c).alias("name"), text_.alias("detail")) for k, (c, text_) in detail.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("s09_admin_lookup", W + "SELECT DISTINCT actor AS username FROM win WHERE EventCode = '4719'")
@@ -159,6 +241,23 @@ def s09(spark, d):
     return S.read_admin_accounts(spark, path).filter("lower(is_admin) IN ('true', 'yes', '1')").select("username").distinct()
 
 
+@query("k05_keyed_users", """SELECT id, name FROM (
+  SELECT lower(c_name) || '@example.test' AS id, c_name AS name FROM customer UNION ALL SELECT lower(s_name) || '@example.test', s_name FROM supplier)
+  WHERE name NOT BETWEEN 'Supplier#000000002' AND 'Supplier#000000004' AND name NOT IN ('Customer#000000001', 'Customer#000000002')""")
+def k05_users(spark, d):
+    """K5, TK2 and TK12 on a stored table: known addresses stay, new ones are added, seeded rows go; each step twice."""
+    users = KeyedTable(spark, folder(spark, "users"), "id string, name string", ["id"])
+    users.upsert(bridge.ticket_dims(spark, d)["user"])
+    people = bridge.table(spark, d, "supplier").select(F.concat(F.lower("s_name"), F.lit("@example.test")).alias("id"), F.col("s_name").alias("name"))
+    again = bridge.ticket_dims(spark, d)["user"].select("id", F.lit("already known").alias("name"))
+    seeded = F.col("name").between("Supplier#000000002", "Supplier#000000004") | F.col("name").isin("Customer#000000001", "Customer#000000002")
+    for _ in range(2):
+        users.upsert(people.unionByName(again), overwrite=False)
+    for _ in range(2):
+        last = users.delete(seeded)
+    return users.read(last)
+
+
 @query("s12_app_events", """SELECT CASE event_id % 5 WHEN 0 THEN 'Microsoft Office 16' WHEN 1 THEN 'EXCEL' WHEN 2 THEN 'Outlook'
   WHEN 3 THEN 'WINWORD' ELSE '.NET Runtime' END AS source, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1""")
 def s12(spark, d):
@@ -175,12 +274,14 @@ def s12_hotfixes(spark, d):
     return S.read_hotfixes(spark, path).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s12_list_files", "SELECT 'type=' || event_type AS folder, count(DISTINCT 1) AS files FROM events GROUP BY 1")
+@query("s12_list_files", "SELECT 'type=' || event_type AS folder, sum(length(event_id::VARCHAR) + 1)::BIGINT AS bytes FROM events GROUP BY 1")
 def s12_files(spark, d):
+    """Names and lengths of the files that any number of tasks has written; the sum does not depend on it."""
     path = folder(spark, "listing")
-    bridge.table(spark, d, "events").select("event_id", F.col("event_type").alias("type")).repartition(1).write.partitionBy("type").parquet(path)
-    names = S.list_files(spark, path, "*.parquet").select(F.element_at(F.split("path", "/"), -2).alias("folder"))
-    return names.groupBy("folder").agg(F.count(F.lit(1)).alias("files"))
+    lines = bridge.table(spark, d, "events").select(F.col("event_id").cast("string").alias("value"), F.col("event_type").alias("type"))
+    lines.write.partitionBy("type").text(path)
+    names = S.list_files(spark, path, "*.txt").select(F.element_at(F.split("path", "/"), -2).alias("folder"), "length")
+    return names.groupBy("folder").agg(F.sum("length").alias("bytes"))
 
 
 @query("g12_required_table", "SELECT count(*) AS n FROM nation")
@@ -214,11 +315,19 @@ def st08(spark, d):
     )
     E.write_events(flush, path)
     run = jobs.start_alert(E.stream_security_events(spark, path), spec, f"{base}/log", f"{base}/checkpoint", once=True)
-    run.awaitTermination()
-    jobs.fail_on_dropped(run)
+    jobs.fail_on_dropped(run, jobs.drop_counter(spark))
     return jobs.read_alert_log(spark, f"{base}/log").filter("key <> 'flush'").select("key", "fired_at")
 
 
+@query("st01_backfill", FIRED)
+def st01_backfill(spark, d):
+    """The alert's history day by day in event-time order, the mute handed on from day to day."""
+    spec, base, path = A.ALERTS["new_account"], folder(spark, "backfill"), store(spark, d)
+    days = spark.read.parquet(path).agg(F.min("event_date"), F.max("event_date")).first()
+    jobs.backfill_alert(spark, path, spec, f"{base}/log", f"{base}/state", *days)
+    return jobs.read_alert_log(spark, f"{base}/log").select("key", "fired_at")
+
+
 @query("st02_stream_lines", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
 def st02(spark, d):
     base = folder(spark, "lines")
@@ -260,7 +369,7 @@ def k02(spark, d):
     users, path = bridge.ad_users(spark, d), folder(spark, "reports")
     asked = users.select(F.col("sam").alias("username"), F.lit("Resigned").alias("reason"), F.lit("agent1").alias("agent"), F.lit("T1").alias("ticket"))
     report = D.offboarding_report(asked, users, bridge.ad_memberships(spark, d), bridge.NOW)
-    K.write_reports(report.coalesce(4), path)
+    K.write_reports(report, path)
     lines = spark.read.schema("value string, username string, report_date string").text(path)
     return lines.groupBy("username").agg(
         F.count_if(F.col("value").contains("EMPLOYEE OFFBOARDING AUDIT REPORT")).alias("titles"),

@@ -30,6 +30,11 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def stored_events(spark: SparkSession, path: str) -> DataFrame:
+    """All events of a store, whatever their index and source type."""
+    return spark.read.schema(_STORED).parquet(path)
+
+
 def security_events(
     spark: SparkSession,
     path: str,

@@ -297,3 +297,36 @@ def test_offboarding(spark, users, pairs):
     assert str(done["delete_after"]) == "2024-06-03" and done["display_name"] == "[DEPARTED] Alopez"
     assert "  - GRP-VPN-Users" in done["report"]
     assert got["Administrator"]["decision"] == "REFUSED" and got["Administrator"]["report"] is None
+
+
+def test_dimensions_with_repeated_keys_do_not_multiply_rows(spark):
+    users = spark.createDataFrame(
+        [("a", "Ann", "boss", ["GRP-A", "grp-b"]), ("boss", "Big Boss", None, []), ("boss", "Also Boss", None, ["grp-A"])],
+        "sam string, name string, manager string, groups array<string>",
+    )
+    assert rows(D.reporting_lines(users)) == [("a", "boss", "Also Boss")]
+    groups = spark.createDataFrame([("GRP-A",), ("GRP-B",), ("grp-b",)], "name string")
+    got = sorted(rows(D.memberships(users, groups)))
+    assert got == [("a", "GRP-A", "OK"), ("a", "GRP-B", "OK"), ("boss", "GRP-A", "OK")]
+    ticket = spark.createDataFrame([("1", "u", 1, 1, 7, "2024-01-01", "s")], "number string, user_id string, dept_id int, status_id int, staff_id int, created string, subject string")
+    dims = {
+        "user": spark.createDataFrame([("u", "U1"), ("u", "U2")], "id string, name string"),
+        "department": spark.createDataFrame([(1, "D"), (1, "E")], "id int, name string"),
+        "ticket_status": spark.createDataFrame([(1, "Open"), (1, "Other")], "id int, name string"),
+        "staff": spark.createDataFrame([(7, "A", "B"), (7, "C", "D")], "staff_id int, firstname string, lastname string"),
+    }
+    assert [tuple(r)[0:5] for r in T.ticket_report(ticket, None, dims).collect()] == [("1", "s", "U1", "A B", "D")]
+
+
+def test_suggestions_of_hot_pieces_and_short_texts(spark, monkeypatch):
+    """A piece that a third of all names holds is split; results are those of a comparison of all."""
+    monkeypatch.setattr(D, "PIECE_NAMES", 7)
+    names = [f"team-{k % 7}-{'vpn' if k % 3 == 0 else 'hr'}-{k}" for k in range(120)] + ["aaaa", "AAaa b"]
+    wanted = ["VPN", "hr-1", "m-3-", "a", "9", "aaa", "aaaa b", "no such", "", "-", "team-0-vpn-0"]
+    groups = spark.createDataFrame([(n,) for n in names], "name string")
+    asked = spark.createDataFrame([(w,) for w in wanted], "wanted string")
+    got = {r["wanted"]: r["suggestions"] for r in D.suggest_groups(asked, groups).collect()}
+    want = {w: sorted(n for n in names if w.lower() in n.lower()) for w in wanted if w}
+    assert got == {w: n for w, n in want.items() if n}
+    few = {r["wanted"]: r["suggestions"] for r in D.suggest_groups(asked, groups, limit=3).collect()}
+    assert few == {w: n[:3] for w, n in want.items() if n}
