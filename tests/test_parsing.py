@@ -4,8 +4,10 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from nightdesk import vocab
 from nightdesk.functions import parsing as P
 from nightdesk.functions import scalars as S
+from nightdesk.functions.scalars import with_display_names
 from nightdesk.functions.timerange import TimeRange
 from nightdesk.operators import helpdesk, web
 
@@ -142,3 +144,15 @@ def test_hotfixes(spark):
 
 def test_span_of_range():
     assert TimeRange.last(NOW, minutes=6).earliest.minute == 54
+
+
+@pytest.mark.parametrize("table", sorted(vocab.DISPLAY_NAMES))
+def test_every_table_of_display_names(spark, table):
+    """All columns of a table get their labels, each its own; others keep their names."""
+    names = vocab.DISPLAY_NAMES[table]
+    df = spark.createDataFrame([tuple(range(len(names) + 1))], [*names, "not_listed"])
+    shown = with_display_names(df, table)
+    assert shown.columns == [*names.values(), "not_listed"] and len(set(shown.columns)) == len(names) + 1
+    assert tuple(shown.first()) == tuple(range(len(names) + 1))
+    one = df.select(next(iter(names)))
+    assert with_display_names(one, table).columns == [next(iter(names.values()))]
