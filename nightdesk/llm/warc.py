@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightdesk.llm.registry import query, table
+from nightdesk.llm.rows import split_by
 from nightdesk.llm.store import run_folder, written
 from nightdesk.llm.text import map_arrow
 
 LEAST_BYTES = 1000
+#: An archive is read back whole, so it must stay well below two gigabytes.
+MOST_RECORDS = 10_000
 RECORD_END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = (
@@ -52,11 +55,14 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, written_at: str =
     payload = F.coalesce("html", F.lit(""))
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     held = held.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
-    # Copies collapse before the shuffle; the key is spelled anew so that both sides of the join are
-    # shuffled on their own and adaptive execution can split a payload that many pages share.
-    first = held.where(F.col("bytes") >= least_bytes).groupBy(F.unhex("digest").alias("raw")).agg(F.max("page_id").alias("original"))
-    first = first.select(F.lower(F.hex("raw")).alias("digest"), "original")
-    joined = held.join(first.hint("merge"), "digest", "left")
+    # Headers alone are shuffled by digest, and copies collapse before.  Only pages whose digest may be
+    # shared meet the originals; the others pass with their payloads where they are.  The key is spelled
+    # anew so that both sides of the join are shuffled on their own and a shared payload can be split.
+    first = held.where(F.col("bytes") >= least_bytes).groupBy(F.unhex("digest").alias("raw")).agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
+    first = first.where("n > 1 AND original IS NOT NULL").select(F.lower(F.hex("raw")).alias("digest"), "original")
+    first = written(first, f"{run_folder(pages.sparkSession, 'warc')}/originals")
+    asked, alone = split_by(held, F.col("digest"), first.select("digest"))
+    joined = asked.join(first.hint("merge"), "digest", "left").unionByName(alone.withColumn("original", F.lit(None).cast("long")))
     revisit = ~F.coalesce(F.col("page_id") == F.col("original"), F.col("original").isNull())
     url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     header = F.concat(
@@ -77,9 +83,9 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, written_at: str =
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, compression: str = "gzip") -> None:
-    """Archives of about the advisory partition size each under ``path``."""
+    """Archives under ``path``, each of what one task has and of ``MOST_RECORDS`` records at most."""
     out = records(pages, least_bytes)
-    out.write.mode("overwrite").option("lineSep", RECORD_END).option("compression", compression).text(path)
+    out.write.mode("overwrite").option("lineSep", RECORD_END).option("compression", compression).option("maxRecordsPerFile", MOST_RECORDS).text(path)
 
 
 def _parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
