@@ -28,10 +28,12 @@ from pyspark.sql import types as T
 from nightdesk.llm.registry import query, table
 from nightdesk.llm.rows import ROW, unwrapped, wrapped
 from nightdesk.llm.store import run_folder, written
-from nightdesk.llm.text import map_arrow, pieces, texts_of, word_table
+from nightdesk.llm.text import map_arrow, mix, pieces, texts_of, word_table
 
 WIDTH = 13
 DEPTH = 32
+#: Words by whose name a shard tells whether a window may occur in it.
+OPENING = 3
 BLOCK_WORDS = 1_000_000
 SHARD_BYTES = 2 << 20
 SPANS, ITEMS, WORDS = "nd_spans", "nd_items", "nd_words"
@@ -61,6 +63,28 @@ class TestBlock:
         self.owners = [sorted(x) for x in windows.values()]
         self.shortest = min((len(w) // 4 for w in self.windows), default=width)
         self.short_starts = np.unique([int.from_bytes(w[:4], "big") for w in self.windows if len(w) < 4 * width] or [0])
+        self._keys: tuple | None = None
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lowest and highest key of each window, the name of its first words, and which are too short for one; made once a task."""
+        if self._keys is None:
+            pad = [w[: 4 * DEPTH] for w in self.windows]
+            low = np.array(pad, f"S{4 * DEPTH}")
+            high = np.array([w.ljust(4 * DEPTH, b"\xff") for w in pad], f"S{4 * DEPTH}")
+            first = np.zeros((len(pad), OPENING), ">u4")
+            for k, w in enumerate(pad):
+                head = np.frombuffer(w[: 4 * OPENING], ">u4")
+                first[k, : len(head)] = head
+            self._keys = low, high, opening(first), (first == 0).any(axis=1)
+        return self._keys
+
+
+def opening(heads: np.ndarray) -> np.ndarray:
+    """A 64-bit name of the first ``OPENING`` words of each row."""
+    name = np.zeros(len(heads), np.uint64)
+    for k in range(OPENING):
+        name = mix(name + heads[:, k].astype(np.uint64) + np.uint64(1))
+    return name
 
 
 class ShardSearch:
@@ -87,15 +111,19 @@ class ShardSearch:
         self.array, self.keys, self.heads = at[order], keys[order], heads[order]
 
     def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
-        """Place and window number of every occurrence of a window, by two binary searches each."""
+        """Place and window number of every occurrence of a window, by two binary searches each.
+
+        Only windows whose first words begin some suffix are searched, so a shard's cost follows what it shares with the block.
+        """
         wins = self.block.windows
         if not wins or not len(self.array):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pad = [w[: 4 * DEPTH] for w in wins]
-        low = np.searchsorted(self.keys, np.array(pad, f"S{4 * DEPTH}"), "left")
-        high = np.searchsorted(self.keys, np.array([w.ljust(4 * DEPTH, b"\xff") for w in pad], f"S{4 * DEPTH}"), "right")
+        lowest, highest, first, short = self.block.keys()
+        held = np.flatnonzero(short | np.isin(first, np.unique(opening(self.heads))))
+        low = np.searchsorted(self.keys, lowest[held], "left")
+        high = np.searchsorted(self.keys, highest[held], "right")
         count = high - low
-        of = np.repeat(np.arange(len(wins)), count)
+        of = np.repeat(held, count)
         place = self.array[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
         for at in range(DEPTH, self.block.width):  # wider windows than the array is deep
             same = np.array([int.from_bytes(wins[w][4 * at : 4 * at + 4] or b"\0", "big") for w in of.tolist()])
@@ -104,11 +132,14 @@ class ShardSearch:
         return place, of
 
     def longest(self) -> list[tuple[int, int, int, int]]:
-        """Per item with a match in the array, every place of its longest: item, place there, length, place in the shard."""
+        """Per item with a match in the array, every place of its longest: item, place there, length, place in the shard.
+
+        A match holds a whole window, so only items with an occurrence are looked at.
+        """
         out: list[tuple[int, int, int, int]] = []
-        if not len(self.array):
-            return out
-        for k, item in enumerate(self.block.items):
+        met = sorted({k for w in np.unique(self.occurrences()[1]).tolist() for k in self.block.owners[w]})
+        for k in met:
+            item = self.block.items[k]
             size = min(self.block.width, len(item))
             tails = np.zeros((len(item) - size + 1, DEPTH), ">u4")
             for at in range(len(tails)):
@@ -336,6 +367,31 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op1_longest_matches")
+@query(
+    "op1_longest_matches",
+    r"""
+WITH b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT item_id, j, least(13, len(w)) AS n, array_to_string(w[j : j + least(13, len(w)) - 1], ' ') AS k
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS j FROM b WHERE len(w) > 0)
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS k
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win))
+), occ AS (
+  SELECT item_id, j, doc_id, i, p.n, j - row_number() OVER (PARTITION BY item_id, doc_id, p.n, i - j ORDER BY j) AS island
+  FROM p JOIN win ON p.n = win.n AND p.k = win.k
+), runs AS (
+  SELECT item_id, doc_id, min(j) - 1 AS item_pos, min(i) - 1 AS doc_pos, count(*) + n - 1 AS length
+  FROM occ GROUP BY item_id, doc_id, n, i - j, island
+)
+SELECT item_id::VARCHAR AS item_id, item_pos, length, doc_id, doc_pos FROM runs
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length DESC, doc_id, doc_pos, item_pos) = 1
+""",
+)
 def op1_longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
