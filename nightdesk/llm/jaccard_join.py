@@ -33,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nightdesk.llm.graph import components
 from nightdesk.llm.registry import query, table
-from nightdesk.llm.rows import unwrapped, wrapped
+from nightdesk.llm.rows import decided
 from nightdesk.llm.store import run_folder, written
 from nightdesk.llm.text import map_arrow, mix, pieces, shingle_sets, space_table, texts_of
 
@@ -240,30 +241,6 @@ def _compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, p
     return verified(pairs, written(full_sets(docs, wanted, width), f"{folder}-sets"), percent)
 
 
-def components(links: DataFrame, folder: str) -> DataFrame:
-    """``node, comp`` for every node with a link: each component takes its smallest node.
-
-    Every round hooks each component to its smallest neighbour and relabels the links, which
-    are written, so a lost executor costs one round at most.
-    """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = written(both.where("a != b").distinct(), f"{folder}/edges-0")
-    labels = written(edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct(), f"{folder}/labels-0")
-    turn = 0
-    while not edges.isEmpty():
-        turn += 1
-        hook = edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("comp"), F.least("a", "low").alias("low"))
-        hook = written(hook, f"{folder}/hook-{turn}")
-        labels = written(
-            labels.join(hook, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp")), f"{folder}/labels-{turn}"
-        )
-        one = hook.select(F.col("comp").alias("a"), F.col("low").alias("x"))
-        two = hook.select(F.col("comp").alias("b"), F.col("low").alias("y"))
-        moved = edges.join(one, "a").join(two, "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = written(moved.distinct(), f"{folder}/edges-{turn}")
-    return labels
-
-
 def _linked(one: list[np.ndarray], two: list[np.ndarray] | None, percent: int) -> np.ndarray:
     """Which sets of the one list reach the similarity with which of the other, or of the same one if there is none."""
     sides = [one] if two is None else [one, two]
@@ -400,18 +377,15 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, counted:
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row of each component, the one with the smallest ``doc_id``, and all rows without shingles."""
-    spark = docs.sparkSession
-    placed = written(groups(docs, width, percent, counted=False), f"{run_folder(spark, 'jaccard')}/groups")
+    folder = run_folder(docs.sparkSession, "jaccard")
+    placed = written(groups(docs, width, percent, counted=False), f"{folder}/groups")
     alike = placed.where("comp IS NOT NULL").groupBy("comp", "doc_id", "key").agg(F.count("*").alias("n"))
-    best = alike.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("b"))
-    alone = placed.where("comp IS NULL").select("doc_id", "key", F.lit(1).cast("long").alias("n")).distinct()
-    stay = best.select("b.doc_id", "b.key", "b.n").unionByName(alone)
-    stay = stay.select(F.col("doc_id").alias("nd_id"), F.col("key").alias("nd_key"), F.col("n").alias("nd_n"))
-    text_key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = wrapped(docs, F.col("doc_id").cast("long").alias("id"), text_key.alias("key"))
-    kept = rows.join(stay.hint("merge"), F.col("id").eqNullSafe(F.col("nd_id")) & (F.col("key") == F.col("nd_key")))
-    once = kept.where("nd_n = 1").unionByName(kept.where("nd_n > 1").dropDuplicates(["nd_id", "nd_key"]))
-    return unwrapped(once, docs.columns)
+    best = alike.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("b"))
+    best = best.select(F.struct("comp").alias("of"), F.col("b.doc_id").alias("best_id"), F.col("b.key").alias("best_key"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("key") == F.col("best_key"))
+    marks = alike.join(best.hint("merge"), F.struct("comp") == F.col("of"))
+    marks = marks.select(F.col("doc_id").alias("id"), "key", F.when(stays, 1).otherwise(0).alias("stay"), "n").where("stay = 0 OR n > 1")
+    return decided(docs, written(marks.select("id", "key", "stay"), f"{folder}/marks"))
 
 
 @query("op9_jaccard_join")
