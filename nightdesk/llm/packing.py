@@ -63,6 +63,8 @@ class WordEncoder(dict):
         self.letters = {b: chr(b) for b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}
         self.letters |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self.letters)}
         self.by_word = "Split" in str(self.tokenizer.pre_tokenizer) and "Lowercase" in str(self.tokenizer.normalizer)
+        if any(self._whole(f"b{gap}c") != self._whole("b") + self._whole("c") for gap in (" ", "  ", "\n", "\t")):
+            raise ValueError(f"{path} joins characters across white space; texts cannot be encoded word by word")
 
     def _core(self, word: str) -> bytes:
         ids = self.cores.get(word)
@@ -96,13 +98,14 @@ class WordEncoder(dict):
         return [b"".join([self[w] for w in t.split()]) for t in texts]
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, sequence: int = SEQUENCE, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of at most ``sequence`` ids: ``doc_id, start, length, ids_crc32, doc_tokens`` and, if asked, ``ids``."""
     closing = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_memo("encoders")
-        encoder = memo[tokenizer] = memo.get(tokenizer) or WordEncoder(tokenizer)
+        known = (tokenizer, cache_words)
+        encoder = memo[known] = memo.get(known) or WordEncoder(tokenizer, cache_words)
         for whole in batches:
             for batch in pieces(whole, "text"):
                 rows = [[] for _ in range(6)]
@@ -171,9 +174,9 @@ def pack_pieces(cut: DataFrame, sequence: int = SEQUENCE, group_rows: int = GROU
     return whole.unionByName(dealt.groupBy("group").applyInPandas(pack, kinds))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with their places in the sequences."""
-    cut = written(cut_pieces(docs, tokenizer, end_id, sequence, with_ids), f"{run_folder(docs.sparkSession, 'packing')}/pieces")
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, sequence: int = SEQUENCE, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Pieces of all documents with their places in the sequences; a worker keeps up to ``cache_words`` encoded words."""
+    cut = written(cut_pieces(docs, tokenizer, end_id, sequence, with_ids, cache_words), f"{run_folder(docs.sparkSession, 'packing')}/pieces")
     return pack_pieces(cut, sequence)
 
 
