@@ -36,7 +36,8 @@ def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in their sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # The workers have served the other stages before, so their cache of words is kept small.
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=300_000)
 
 
 STAGES = [
