@@ -16,6 +16,7 @@ from nightdesk.functions.chunked import micros
 _OUTPUT = "key string, t bigint, payload string, late boolean"
 _COLUMNS = ["key", "t", "payload", "late"]
 SLOT = 60 * 1_000_000
+_OUT_ROWS = 10_000
 
 
 class OrderedFold(StatefulProcessor):
@@ -25,7 +26,10 @@ class OrderedFold(StatefulProcessor):
     in any order; the output equals that of the batch operator.  ``advance``
     maps (state, t) to (state, emit).  ``settled`` tells whether a buffered row
     can no longer change anything, so hot keys do not pile up in the state.
-    Rows wait in slots of a minute; a timer names its slot, which alone is read.
+    Rows wait in slots of a minute, of which only those that are due are read.  Every call of the state
+    is a message to the engine, so a key has one timer for all rows it was given together, and not
+    one a slot: the timer works off all slots that are due, one after the other, and the next slot
+    that waits gets the next timer.
     A row older than one of its key that is already folded comes too late to be
     put in order: it is handed out at once, marked ``late``, and changes nothing.
     """
@@ -40,49 +44,67 @@ class OrderedFold(StatefulProcessor):
         self.pending = handle.getMapState("pending", "slot bigint", "rows string")
 
     def _state(self):
-        return json.loads(self.value.get()[0]) if self.value.exists() else self.initial
+        held = self.value.get()
+        return self.initial if held is None else json.loads(held[0])
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         self.value.update((json.dumps(int(initialState["t"].max())),))
 
-    def _put(self, slot: int, rows: list) -> None:
-        self.pending.updateValue((slot,), (json.dumps(rows),))
-        self.handle.registerTimer(min(t for t, _ in rows) // 1000)
+    def _waiting(self, slot: int) -> list:
+        held = self.pending.getValue((slot,))
+        return [] if held is None else json.loads(held[0])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, through = self._state(), self.through.get()[0] if self.through.exists() else None
+        state, through, some = self._state(), self.through.get(), self.pending.exists()
         for pdf in rows:
             slots, late = defaultdict(list), []
             for t, payload in zip(pdf["t"].tolist(), pdf["payload"].tolist()):
-                if through is not None and t < through:
+                if through is not None and t < through[0]:
                     late.append((key[0], t, payload, True))
                 elif not self.settled(state, t):
                     slots[t // SLOT].append([t, payload])
             for slot, new in slots.items():
-                held = json.loads(self.pending.getValue((slot,))[0]) if self.pending.containsKey((slot,)) else []
-                self._put(slot, held + new)
+                held = self._waiting(slot) if some else []
+                self.pending.updateValue((slot,), (json.dumps(held + new),))
+            if slots:
+                self.handle.registerTimer(min(t for t, _ in slots[min(slots)]) // 1000)
+                some = True
             if late:
                 yield pd.DataFrame(late, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark, state = timerValues.getCurrentWatermarkInMs(), self._state()
-        slot = expiredTimerInfo.getExpiryTimeInMs() * 1000 // SLOT
-        if not self.pending.containsKey((slot,)):  # an earlier timer of the slot has emptied it
+        watermark = timerValues.getCurrentWatermarkInMs()
+        slots = sorted(slot for (slot,) in self.pending.keys())
+        ripe = [slot for slot in slots if slot * SLOT // 1000 <= watermark]
+        if not ripe:  # an earlier timer of the key has worked them off
             return
-        rows, out = sorted(json.loads(self.pending.getValue((slot,))[0])), []
-        due = [r for r in rows if r[0] // 1000 <= watermark]
-        for t, payload in due:
-            state, emit = self.advance(state, t)
-            if emit:
-                out.append((key[0], t, payload, False))
-        later = [r for r in rows if r[0] // 1000 > watermark and not self.settled(state, r[0])]
-        if later:
-            self._put(slot, later)
+        state, through, out, later = self._state(), None, [], []
+        for slot in ripe:
+            for t, payload in sorted(self._waiting(slot)):
+                if t // 1000 > watermark:  # in the last of them only
+                    later.append([t, payload])
+                    continue
+                state, emit = self.advance(state, t)
+                through = t
+                if emit:
+                    out.append((key[0], t, payload, False))
+            if len(out) >= _OUT_ROWS:
+                yield pd.DataFrame(out, columns=_COLUMNS)
+                out = []
+        if len(ripe) == len(slots):
+            self.pending.clear()
         else:
-            self.pending.removeKey((slot,))
-        if due:
+            for slot in ripe:
+                self.pending.removeKey((slot,))
+        later = [r for r in later if not self.settled(state, r[0])]
+        if later:
+            self.pending.updateValue((ripe[-1],), (json.dumps(later),))
+            self.handle.registerTimer(later[0][0] // 1000)
+        elif len(ripe) < len(slots):
+            self.handle.registerTimer(slots[len(ripe)] * SLOT // 1000)
+        if through is not None:
             self.value.update((json.dumps(state),))
-            self.through.update((due[-1][0],))
+            self.through.update((through,))
         if out:
             yield pd.DataFrame(out, columns=_COLUMNS)
 
