@@ -174,22 +174,21 @@ def tk08(spark, d):
 def v02(spark, d):
     """The procedure called in SQL for suppliers and for customers, whose addresses are known."""
     dims = bridge.ticket_dims(spark, d)
-    register_procedures(spark, dims, bridge.NOW)
-    bridge.table(spark, d, "customer").selectExpr("'already known' AS name", "lower(c_name) || '@example.test' AS mail").unionByName(
+    people = bridge.table(spark, d, "customer").selectExpr("'already known' AS name", "lower(c_name) || '@example.test' AS mail").unionByName(
         dims["staff"].select(F.col("username").alias("name"), F.col("email").alias("mail"))
-    ).createOrReplaceTempView("desk_people")
+    )
+    register_procedures(spark, dims, bridge.NOW, people=people)
     dims["user"].createOrReplaceTempView("desk_user")
-    return spark.sql("SELECT id, name FROM desk_user UNION ALL SELECT u.id, u.name FROM desk_people p, LATERAL upsert_user(p.name, p.mail) u")
+    return spark.sql("SELECT id, name FROM desk_user UNION ALL SELECT id, name FROM upsert_users()")
 
 
 @query("v03_seed_ticket_call", ORACLE["tk03_build_tickets"])
 def v03(spark, d):
     """The procedure called in SQL for every request."""
-    register_procedures(spark, bridge.ticket_dims(spark, d), bridge.NOW, bridge.known_tickets(spark, d))
-    bridge.ticket_requests(spark, d).createOrReplaceTempView("desk_requests")
-    columns = ", ".join(f"t.{c}" for c in T.TICKET_COLUMNS)
-    return spark.sql(f"""SELECT {columns} FROM desk_requests r, LATERAL seed_ticket(r.number, r.subject, r.body, r.user_email, r.dept_name,
-      r.topic_name, r.sla_name, int(r.priority), r.status, r.source, r.created, r.agent_user, r.reply) t""")
+    register_procedures(
+        spark, bridge.ticket_dims(spark, d), bridge.NOW, bridge.known_tickets(spark, d), requests=bridge.ticket_requests(spark, d)
+    )
+    return spark.sql(f"SELECT {', '.join(T.TICKET_COLUMNS)} FROM seed_tickets()")
 
 
 def queue_query(name, where, sql_where, **options):
